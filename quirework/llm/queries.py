@@ -26,8 +26,62 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(pieces.drop("doc_row"))
 
 
+def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.tokenfile import checksums, read_index, write_tokens
+    from quirework.llm.workspace import Workspace
+
+    path = Workspace(spark).root + "/tokens"
+    write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
+    bases = read_index(spark, path).groupBy("part").agg(F.min("start").alias("base"))
+    rows = checksums(spark, path).join(F.broadcast(bases), "part")  # one row a file
+    return rows.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op8_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.exactdedup import exact_groups
+
+    return exact_groups(table(spark, sf_dir, "documents"))
+
+
+def op9_neardedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.neardedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.mixing import mix
+
+    rows = mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op7_tokenfile": op7_tokenfile,
+    "op8_exactdedup": op8_exactdedup,
+    "op9_neardedup": op9_neardedup,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_exactdedup": """
+        WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
+        SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+               doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+        FROM d WINDOW w AS (PARTITION BY t)""",
+    "op10_mixing": """
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS lim FROM s),
+        l AS (SELECT *, lim / weight AS level, sum(source_size) OVER () AS total FROM w),
+        c AS (SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY level, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / sum(weight) OVER (ORDER BY level, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM l),
+        f AS (SELECT min({'level': level, 'share': share}) AS found FROM c WHERE level > share),
+        t AS (SELECT source, source_size, CASE WHEN found IS NULL OR level < found.level THEN lim::DOUBLE ELSE weight * found.share END AS target FROM c, f),
+        r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+               ((floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate)
+                     THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM r""",
+}
