@@ -26,6 +26,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(pieces.drop("doc_row"))
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.substring import repeated_spans
+
+    return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirework.llm.tokenfile import checksums, read_index, write_tokens
     from quirework.llm.workspace import Workspace
@@ -58,6 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op5_substring": op5_substring,
     "op7_tokenfile": op7_tokenfile,
     "op8_exactdedup": op8_exactdedup,
     "op9_neardedup": op9_neardedup,
