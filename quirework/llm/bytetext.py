@@ -19,6 +19,9 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Also every ASCII character that is no letter or digit.
+_PUNCTUATION = _SPACE.copy()
+_PUNCTUATION[[i for i in range(128) if not chr(i).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -69,12 +72,15 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
 
 
 class Words:
-    """The words of a slice: byte positions, hashes, and the range of each row."""
+    """The words of a slice: byte positions, hashes, and the range of each row.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, seed: int = 0):
+    lower: A-Z as a-z. letters: ASCII punctuation parts words too.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False):
         if lower:
             data = _LOWER[data]
-        inside = ~_SPACE[data]
+        inside = ~(_PUNCTUATION if letters else _SPACE)[data]
         n = len(data)
         first, last = inside.copy(), inside.copy()
         if n:
@@ -87,8 +93,7 @@ class Words:
         self.starts = np.flatnonzero(first)
         self.ends = np.flatnonzero(last) + 1
         self.rows = np.searchsorted(self.starts, offsets)
-        base = (_BASE + 2 * seed * 0x632BE59BD9B4E019) % (1 << 64) | 1
-        power, inverse = _power_tables(n + 1, base)
+        power, inverse = _power_tables(n + 1, _BASE)
         sums = np.zeros(n + 1, _U)
         np.cumsum((data.astype(_U) + _U(1)) * power[:n], out=sums[1:])
         self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(_U))

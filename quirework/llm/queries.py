@@ -26,6 +26,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(pieces.drop("doc_row"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.toxicity import judge
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return judge(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirework.llm.substring import repeated_spans
 
@@ -64,6 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_substring": op5_substring,
     "op7_tokenfile": op7_tokenfile,
     "op8_exactdedup": op8_exactdedup,
