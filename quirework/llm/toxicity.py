@@ -53,6 +53,7 @@ class Chain:
     categories: tuple[str, ...]
     words: np.ndarray
     models: tuple[Model, ...]
+    limits: tuple[float, ...]
 
     def probabilities(self, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, 0))
@@ -133,6 +134,24 @@ def fit(rows: np.ndarray, cols: np.ndarray, before: np.ndarray, y: np.ndarray, u
     return Model(weights, np.asarray(state[1]), float(state[2]))
 
 
+def limit(p: np.ndarray, y: np.ndarray) -> float:
+    """The probability that parts the labels best out of fold; a clean document flagged counts as two missed ones by share.
+
+    Within the best gap it is the middle on the logit scale. One kind of label only: nothing reaches the limit.
+    """
+    if not y.any() or y.all():
+        return 2.0
+    order = np.argsort(p, kind="stable")
+    q, truth = np.clip(p[order], 1e-9, 1 - 1e-9), y[order]
+    gain = 2 * np.cumsum(~truth) / (~truth).sum() - np.cumsum(truth) / truth.sum()  # below the limit so far
+    gain[:-1][q[:-1] == q[1:]] = -1
+    k = int(np.argmax(gain))
+    if k == len(q) - 1:
+        return 2.0
+    logit = np.log(q[[k, k + 1]] / (1 - q[[k, k + 1]])).mean()
+    return float(1 / (1 + np.exp(-logit)))
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
     """A chain fitted on at most `sample` labelled documents. labels: the id, and a 0/1 column for each category."""
     asked = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories])
@@ -152,18 +171,18 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, id
     hit = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
     rows, cols = rows[hit], at[hit]
     fold = np.arange(n) % FOLDS
-    before, models = np.zeros((n, 0)), []
+    before, models, limits = np.zeros((n, 0)), [], []
     for i, category in enumerate(categories):
         y = np.asarray(got[category]).astype(bool) if n else np.zeros(0, bool)
         models.append(fit(rows, cols, before, y, np.ones(n, bool), len(common)))
-        if i + 1 < len(categories):
-            p = np.zeros(n)
-            for k in range(FOLDS):
-                part = fit(rows, cols, before, y, fold != k, len(common))
-                m = part.margin(rows, cols, n, before)
-                p[fold == k] = 1 / (1 + np.exp(-np.clip(m[fold == k], -40, 40)))
-            before = np.column_stack((before, p))
-    return Chain(tuple(categories), common, tuple(models))
+        p = np.zeros(n)
+        for k in range(FOLDS):
+            part = fit(rows, cols, before, y, fold != k, len(common))
+            m = part.margin(rows, cols, n, before)
+            p[fold == k] = 1 / (1 + np.exp(-np.clip(m[fold == k], -40, 40)))
+        before = np.column_stack((before, p))
+        limits.append(limit(p, y))
+    return Chain(tuple(categories), common, tuple(models), tuple(limits))
 
 
 def score(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFrame:
@@ -185,12 +204,13 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFrame
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with p_low_quality, p_toxic and kept (p_toxic below the threshold). labels: the id, quality, toxic.
+def judge(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with p_low_quality, p_toxic and kept. labels: the id, quality, toxic.
 
-    Classes weigh the same in training, so most clean documents come out far below one half.
+    kept: p_toxic is below the threshold, by default the one that parts the
+    training labels best out of fold.
     """
     known = labels.select(id_col, (1 - F.col("quality")).alias("low_quality"), "toxic")
     chain = train(docs, known, ("low_quality", "toxic"), id_col=id_col, text_col=text_col)
     out = score(docs.drop("kept"), chain, text_col=text_col)
-    return out.withColumn("kept", F.col("p_toxic") < threshold)
+    return out.withColumn("kept", F.col("p_toxic") < (chain.limits[-1] if threshold is None else threshold))
