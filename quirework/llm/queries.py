@@ -26,6 +26,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_crc32(pieces.drop("doc_row"))
 
 
+#: (verdict, host/path); the longest rule that fits a url wins.
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.urlfilter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.quality import judge_lines
+
+    rows = judge_lines(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+#: The one tool that plain chat turns call, as field -> (type, required).
+TOOLS = {"respond": {"query": ("string", True), "n_words": ("integer", True)}}
+
+
+def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quirework.llm.toolcalls import link, turns_as_calls
+
+    return link(*turns_as_calls(table(spark, sf_dir, "conversations")), TOOLS)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirework.llm.toxicity import judge
 
@@ -71,8 +98,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_urlfilter": op2_urlfilter,
+    "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_substring": op5_substring,
+    "op6_toolcalls": op6_toolcalls,
     "op7_tokenfile": op7_tokenfile,
     "op8_exactdedup": op8_exactdedup,
     "op9_neardedup": op9_neardedup,
@@ -80,6 +110,62 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_urlfilter": """
+        WITH r(verdict, rule, domain, start) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'),
+             ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
+        p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+              regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+        m AS (SELECT p.*, (SELECT arg_max({'rule': r.rule, 'verdict': r.verdict}, length(r.rule)) FROM r
+              WHERE (p.host = r.domain OR ends_with(p.host, '.' || r.domain)) AND starts_with(p.path, r.start)) AS x FROM p),
+        g AS (SELECT page_id, host, path, x.rule AS rule, x.verdict AS label,
+              list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE
+                WHEN regexp_matches(s, '^[0-9]+$') THEN '{n}' WHEN regexp_matches(s, '^[0-9]+\\.[A-Za-z0-9]{1,5}$') THEN '{n}.' || regexp_extract(s, '\\.(.*)$', 1)
+                WHEN regexp_matches(s, '^[0-9a-fA-F]{8,}$') THEN '{x}' WHEN regexp_matches(s, '[0-9]') THEN '{id}' WHEN length(s) > 40 THEN '{long}' ELSE s END)[1:6] AS seg FROM m),
+        w AS (SELECT host, place FROM (SELECT DISTINCT host, unnest(seg) AS v, generate_subscripts(seg, 1) AS place FROM g) GROUP BY host, place HAVING count(*) > 50),
+        ws AS (SELECT host, list(place) AS places FROM w GROUP BY host),
+        t AS (SELECT g.*, list_transform(seg, lambda s, i: CASE WHEN list_contains(coalesce(places, []), i) THEN '*' ELSE s END) AS tpl FROM g LEFT JOIN ws USING (host)),
+        b0 AS (SELECT host, tpl, count(label) AS n, count(*) FILTER (WHERE label = 'block') AS b,
+               list_max(list_transform(tpl, lambda s, i: CASE WHEN regexp_matches(s, '^([*]|\\{.*)$') THEN 0 ELSE i END)) AS fixed FROM t GROUP BY host, tpl),
+        b1 AS (SELECT *, list_transform(tpl, lambda s, i: CASE WHEN i = fixed THEN '~' ELSE s END) AS shape FROM b0),
+        k AS (SELECT * FROM b1 WHERE n >= 5),
+        q AS (SELECT host, shape, sum(n) AS n, sum(b) AS b FROM k GROUP BY host, shape HAVING count(*) > 1),
+        s AS (SELECT k.host, k.tpl, k.shape, k.n, k.b FROM k JOIN q USING (host, shape)
+              WHERE abs(k.b / k.n - q.b / q.n) <= 1.96 * sqrt((q.b + 1) / (q.n + 2) * (1 - (q.b + 1) / (q.n + 2)) * (1 / k.n + 1 / q.n))),
+        u AS (SELECT s.host, s.tpl, v.n, v.b FROM s JOIN (SELECT host, shape, sum(n) AS n, sum(b) AS b FROM s GROUP BY host, shape) v USING (host, shape)),
+        y AS (SELECT b1.host, b1.tpl, (coalesce(u.b, b1.b) + 0.2) / (coalesce(u.n, b1.n) + 2.0) AS purity FROM b1 LEFT JOIN u USING (host, tpl))
+        SELECT page_id, host, path, rule, coalesce(label, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict FROM t JOIN y USING (host, tpl)""",
+    "op3_quality": """
+        WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+        h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM g),
+        r AS (SELECT doc_id, sum(c) AS n_repeat FROM (SELECT doc_id, least(3, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i), 3)) AS c FROM h WHERE n > 1) GROUP BY doc_id),
+        l AS (SELECT doc_id, source, unnest(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) AS line FROM d),
+        m AS (SELECT doc_id, source, line, trim(regexp_replace(lower(line), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS norm FROM l),
+        c AS (SELECT source, norm FROM (SELECT DISTINCT doc_id, source, norm FROM m) GROUP BY source, norm HAVING count(*) > 100),
+        x AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup,
+                     coalesce(sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) FILTER (WHERE c.norm IS NOT NULL), 0) AS gone
+              FROM m LEFT JOIN c ON m.norm = c.norm AND m.source IS NOT DISTINCT FROM c.source GROUP BY doc_id),
+        f AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+                     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+                     coalesce(n_repeat, 0)::BIGINT AS n_repeat_words, coalesce(gone, 0) AS gone
+              FROM d LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)),
+        b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND n_words - gone >= 0.5 * n_words AS kept FROM b""",
+    "op6_toolcalls": """
+        WITH m AS (SELECT *, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS nw FROM conversations),
+        c AS (SELECT conv_id, turn, text, nw FROM m WHERE role = 'user'),
+        a AS (SELECT conv_id, turn, text FROM m WHERE role = 'assistant'),
+        i AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS chain FROM c),
+        k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chain ORDER BY turn) - 1 AS depth FROM i)
+        SELECT k.conv_id || ':' || k.turn AS call_id, k.turn AS position, a.turn AS result_position, depth,
+               CASE WHEN a.turn IS NULL THEN 'no_result' ELSE 'linked' END AS status,
+               '{"arguments":{"n_words":' || nw || ',"query":' || to_json(k.text)::VARCHAR || '},"call_id":' || to_json(k.conv_id || ':' || k.turn)::VARCHAR
+                 || CASE WHEN a.text IS NULL THEN '' ELSE ',"result":' || to_json(a.text)::VARCHAR END || ',"tool":"respond"}' AS event
+        FROM k LEFT JOIN a ON a.conv_id = k.conv_id AND a.turn = k.turn + 1
+        UNION ALL
+        SELECT a.conv_id || ':' || (a.turn - 1), NULL, NULL, 0, 'orphan_result', NULL FROM a
+        WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = a.conv_id AND c.turn = a.turn - 1)""",
     "op8_exactdedup": """
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
