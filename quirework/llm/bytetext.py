@@ -111,7 +111,13 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         for i in range(n):
             out = out * _U(_BASE) + hashes[i : i + len(out)]
         return mix(out)
+    first = np.arange(len(hashes) - n + 1)
+    return stretches(hashes, first, first + n)
+
+
+def stretches(hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words [first, end) for each pair of positions."""
     power, inverse = _power_tables(len(hashes) + 1, _BASE)
     sums = np.zeros(len(hashes) + 1, _U)
     np.cumsum(hashes * power[: len(hashes)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * inverse[: len(hashes) - n + 1])
+    return mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(_U))

@@ -31,7 +31,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirework.llm.bytetext import Words, grams, slices, text_array
+from quirework.llm.bytetext import Words, grams, slices, stretches, text_array
 from quirework.llm.workspace import Workspace
 
 _NO_ID = (1 << 63) - 1
@@ -68,22 +68,10 @@ def _segments(hashes: np.ndarray, at: np.ndarray, kmer: int) -> np.ndarray:
     """A hash of the words from each anchor to the end of the next; the last has none (0)."""
     out = np.zeros(len(at), np.uint64)
     if len(at) > 1:
-        gaps = np.diff(at)
-        for gap in np.unique(gaps):
-            own = np.flatnonzero(gaps == gap)
-            out[own] = grams_at(hashes, at[own], int(gap) + kmer)
+        out[:-1] = np.maximum(stretches(hashes, at[:-1], at[1:] + kmer), np.uint64(1))
     return out
 
 
-def grams_at(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.full(len(at), n, np.uint64)
-    for i in range(n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[at + i]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.maximum(out ^ (out >> np.uint64(29)), np.uint64(1))
-
-
 def _digest(text: bytes) -> bytes:
     return hashlib.sha256(b" ".join(text.split())).digest()
 
@@ -269,10 +257,11 @@ def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     left = rows.join(placed, "id").select("id", "tie", "text", "hits")
     windows = work.save(left.mapInArrow(_windows(window, kmer), "hash bigint, id bigint, at bigint"), "windows")
     first = windows.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hash", "least")
+    first = work.save(first, "first")  # a table, so that a join with very common windows can be split
     later = windows.join(first, "hash").where("id > least").select("id", "at")
     starts = later.groupBy("id", (F.col("at") % _TIE).cast("int").alias("tie")).agg(F.collect_list(F.expr(f"at div {_TIE}")).alias("starts"))
     starts = work.save(starts, "starts")
-    work.drop("windows")
+    work.drop("windows", "first")
     # the rows of a class other than the smallest lose every word; only the smallest comes here
     todo = placed.join(starts, ["id", "tie"], "left")
     done = rows.join(todo, "id").select("id", "tie", "text", "hits", "starts").mapInArrow(_finish(window, kmer), "id bigint, tie int, n_removed bigint, kept_sha256 string, spans array<array<int>>")
