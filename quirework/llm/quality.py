@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.llm.workspace import Workspace
+
 MOST_DOCUMENTS, LEAST_SHARE = 100, 0.5
 LEAST_WORDS, MOST_REPEATED = 50, 50
 _SPACE = "\t\n\x0b\x0c\r"
@@ -78,29 +80,34 @@ def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def judge_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_documents: int = MOST_DOCUMENTS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """One row a document: id, the base columns, n_common_words (in removed lines), kept, clean_text (without those lines).
+def judge_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", most_documents: int = MOST_DOCUMENTS, least_share: float = LEAST_SHARE, work: Workspace | None = None) -> DataFrame:
+    """One row a document: id, mark (a hash of the text), the base columns, n_common_words (in removed lines), kept, common (hashes of those lines).
 
-    clean_text costs a shuffle of the texts, and only if it is used.
+    Texts are read once; what follows works on a table of line hashes and counts.
     """
+    work = work or Workspace(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("text"))
     hashed = F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n")))
-    rows = rows.withColumn("mark", F.xxhash64("text"))
+    rows = work.save(base_rules(rows.withColumn("lines", hashed).withColumn("mark", F.xxhash64("text"))).drop("text"), "rows")
 
-    each = rows.select("id", "mark", "host", F.explode(F.array_distinct(F.transform(hashed, lambda x: x["h"]))).alias("line"))
+    each = rows.select("id", "mark", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("line"))
     common = each.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > most_documents)
-    common = common.select(F.col("host").alias("c_host"), F.col("line").alias("c_line"))
+    common = work.save(common.select(F.col("host").alias("c_host"), F.col("line").alias("c_line")), "common")
     found = each.join(common, each["host"].eqNullSafe(F.col("c_host")) & (F.col("line") == F.col("c_line")))
     found = found.groupBy("id", "mark").agg(F.collect_set("line").alias("common")).select(F.col("id").alias("f_id"), F.col("mark").alias("f_mark"), "common")
 
-    judged = base_rules(rows.withColumn("lines", hashed))
-    judged = judged.join(found, judged["id"].eqNullSafe(F.col("f_id")) & (judged["mark"] == F.col("f_mark")), "left")
+    judged = rows.join(found, rows["id"].eqNullSafe(F.col("f_id")) & (rows["mark"] == F.col("f_mark")), "left")
     gone = F.aggregate(F.filter("lines", lambda x: F.array_contains("common", x["h"])), F.lit(0), lambda a, x: a + x["n"])
     judged = judged.withColumn("n_common_words", F.when(F.col("common").isNull(), 0).otherwise(gone).cast("bigint"))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("n_common_words") >= least_share * F.col("n_words"))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("common", F.xxhash64(normal_line(x)))), "\n")
-    return judged.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words",
-        kept.alias("kept"), F.when(F.col("common").isNull(), F.col("text")).otherwise(left).alias("clean_text"),
-    )
+    return judged.select(F.col("id").alias(id_col), "mark", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_common_words", kept.alias("kept"), "common")
+
+
+def remove_lines(docs: DataFrame, judged: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The kept documents, their text without the lines that judge_lines found too common."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    marks = judged.where("kept").select(F.col(id_col).alias("__id"), F.col("mark").alias("__mark"), "common").dropDuplicates(["__id", "__mark"])
+    out = docs.join(marks, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")))
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("common", F.xxhash64(normal_line(x)))), "\n")
+    return out.withColumn(text_col, F.when(F.col("common").isNull(), text).otherwise(left)).select(*docs.columns)
