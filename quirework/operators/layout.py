@@ -36,15 +36,16 @@ CELL_ORDER = f"""
            row_number() OVER (PARTITION BY c.page_id, c.cell ORDER BY ((c.y0 + c.y1) * 2 DIV 4) DIV t.tolerance, c.x0 + c.x1, c.line_no) - 1 AS pos
     FROM ({_CELLS}) c JOIN ({ROW_TOLERANCE}) t ON t.page_id = c.page_id AND t.cell = c.cell"""
 
-#: Paragraph blocks: a cell's lines joined by a space, or by a line break where a line stops short of the right edge.
+#: Paragraph blocks: a cell's lines joined by a space, or by a line break where a line stops short of the region's right edge. Lines count as 8 high, as where none are clustered.
 BLOCKS = f"""
     SELECT page_id, cell, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n_items, $JOIN(part, pos) AS content
     FROM (SELECT *, CASE WHEN pos = 0 THEN text
                          WHEN abs(cy - prev_cy) <= 4 THEN concat(' ', text)
                          WHEN prev_x1 >= right_x - 8 THEN concat(' ', text) ELSE concat(chr(10), text) END AS part
           FROM (SELECT *, (y0 + y1) * 2 DIV 4 AS cy, lag((y0 + y1) * 2 DIV 4) OVER (PARTITION BY page_id, cell ORDER BY pos) AS prev_cy,
-                       lag(x1) OVER (PARTITION BY page_id, cell ORDER BY pos) AS prev_x1, max(x1) OVER (PARTITION BY page_id, cell) AS right_x
-                FROM ({CELL_ORDER})))
+                       lag(x1) OVER (PARTITION BY page_id, cell ORDER BY pos) AS prev_x1
+                FROM (SELECT c.*, coalesce(r.x1, max(c.x1) OVER (PARTITION BY c.page_id, c.cell)) AS right_x
+                      FROM ({CELL_ORDER}) c LEFT JOIN {{regions}} r ON r.page_id = c.page_id AND r.lid = c.cell)))
     GROUP BY page_id, cell"""
 
 #: Blocks numbered by the first of their items on the page.

@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _BOX_KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
 
@@ -27,6 +30,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
           SELECT l_orderkey DIV 16 AS page_id, CAST(row_number() OVER (PARTITION BY l_orderkey DIV 16 ORDER BY {_BOX_KEY}) - 1 AS INT) AS det_no,
                  CAST((l_partkey * 37) % 760 AS INT) AS x0, CAST((l_suppkey * 53) % 1000 AS INT) AS y0, CAST(15 + l_quantity * 4 AS INT) AS w, 10 + l_linenumber * 9 AS h,
                  CASE l_returnflag WHEN 'R' THEN 14 WHEN 'A' THEN 21 ELSE 22 END AS class_id, l_discount * 10 AS score FROM {{lineitem}})""", None),
+    "classed": (("regions",), "SELECT page_id, lid, x0, y0, x1, y1, CASE (page_id + lid * 3) % 7 WHEN 0 THEN 12 WHEN 1 THEN 17 WHEN 2 THEN 14 WHEN 3 THEN 10 ELSE 22 END AS class_id FROM {regions}", None),
+    "blocks": (("boxes",), """
+        SELECT page_id, det_no AS lid, x0, y0, x1, y1, CASE det_no % 9 WHEN 0 THEN 6 WHEN 1 THEN 17 WHEN 2 THEN 7 WHEN 3 THEN 14 WHEN 4 THEN 21 WHEN 5 THEN 8 WHEN 6 THEN 12 ELSE 22 END AS class_id
+        FROM {boxes}""", None),
     "steps": (("embeddings",), "SELECT vec_id AS page_id, i AS step, slice(embedding, i * 8 + 1, 8) AS scores FROM (SELECT vec_id, embedding, explode(sequence(0, 7)) AS i FROM {embeddings})", "SELECT vec_id AS page_id, i::INTEGER AS step, embedding[i * 8 + 1 : i * 8 + 8] AS scores FROM {embeddings}, range(0, 8) AS t(i)"),
     "requests": (("events",), """
         SELECT event_id, user_id, CASE user_id % 6 WHEN 0 THEN '/ocr' WHEN 1 THEN '/ocr/raw' WHEN 2 THEN '/ocr/batch' WHEN 3 THEN '/ocr/pixels' WHEN 4 THEN '/ocr/pdf' ELSE '/health' END AS route,
@@ -45,6 +52,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
 #: macro -> (Spark, DuckDB); \\1, \\2 are its arguments, which hold no comma or bracket.
 DIALECT: dict[str, tuple[str, str]] = {
     r"\$JOIN\(([^,()]+), ([^()]+)\)": (r"listagg(\1, '') WITHIN GROUP (ORDER BY \2)", r"string_agg(\1, '' ORDER BY \2)"),
+    r"\$COMMA\(([^,()]+), ([^()]+)\)": (r"listagg(\1, ',') WITHIN GROUP (ORDER BY \2)", r"string_agg(\1, ',' ORDER BY \2)"),
+    r"\$QUOTE\(([^,()]+)\)": (r"substr(to_json(named_struct('v', \1)), 6, length(to_json(named_struct('v', \1))) - 6)", r"to_json(\1)::VARCHAR"),
+    r"\$G5\(([^,()]+)\)": (r"c_number(CAST(\1 AS DOUBLE))", r"printf('%.5g', CAST(\1 AS DOUBLE))"),
     r"\$ARGMAX\(([^,()]+)\)": (r"array_position(\1, array_max(\1)) - 1", r"list_position(\1, list_max(\1)) - 1"),
     r"\$MAX\(([^,()]+)\)": (r"array_max(\1)", r"list_max(\1)"),
     r"\$NONPRINT\(([^,()]+)\)": (r"regexp_count(\1, '[\\\\x01-\\\\x08\\\\x0B\\\\x0C\\\\x0E-\\\\x1F]')", r"len(regexp_extract_all(\1, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]'))"),
@@ -60,6 +70,12 @@ DIALECT: dict[str, tuple[str, str]] = {
 }
 
 
+@F.pandas_udf(T.StringType())
+def c_number(x: pd.Series) -> pd.Series:
+    """Five significant digits as C prints them: an exact tie goes to the even digit, which the JVM's formats and rounding of doubles don't do."""
+    return x.map("{:.5g}".format, na_action="ignore").astype(object)
+
+
 def dialect(sql: str, engine: int) -> str:
     for pattern, texts in DIALECT.items():
         sql = re.sub(pattern, texts[engine], sql)
@@ -96,6 +112,8 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str, made: dict[str, Data
 def apply(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
     """The operator over page tables given as DataFrames."""
     text = dialect(sql, 0)
+    if "c_number(" in text:
+        spark.udf.register("c_number", c_number)
     for name in tables:
         text = text.replace("{" + name + "}", "__" + name + "__")
     text = text.replace("{", "{{").replace("}", "}}")
