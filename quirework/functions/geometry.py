@@ -36,9 +36,9 @@ FLIP = """
     SELECT page_id, det_no, flipped, CASE WHEN flipped THEN x1 ELSE x0 END AS p0x, CASE WHEN flipped THEN y1 ELSE y0 END AS p0y, CASE WHEN flipped THEN x0 ELSE x1 END AS p2x, CASE WHEN flipped THEN y0 ELSE y1 END AS p2y
     FROM (SELECT *, score > 1 - score AND score > 0.9D AS flipped FROM {boxes})"""
 
-#: Points of a page 595 x 842 as seen after its rotation.
+#: Points of a page 595 x 842, y upwards, as seen after its rotation, y downwards.
 ROTATE = """
-    SELECT page_id, det_no, turn, CASE turn WHEN 0 THEN x0 WHEN 90 THEN y0 WHEN 180 THEN 595 - x0 ELSE 842 - y0 END AS xv, CASE turn WHEN 0 THEN y0 WHEN 90 THEN 595 - x0 WHEN 180 THEN 842 - y0 ELSE x0 END AS yv
+    SELECT page_id, det_no, turn, CASE turn WHEN 0 THEN x0 WHEN 90 THEN 842 - y0 WHEN 180 THEN 595 - x0 ELSE y0 END AS xv, CASE turn WHEN 0 THEN 842 - y0 WHEN 90 THEN 595 - x0 WHEN 180 THEN y0 ELSE x0 END AS yv
     FROM (SELECT *, CAST(page_id % 4 AS INT) * 90 AS turn FROM {boxes})"""
 
 #: Points to pixels at 100 dpi and back.

@@ -114,8 +114,15 @@ PARAGRAPH_START = """
       SELECT page_id, cell, pos, x0, lag(x1) OVER (PARTITION BY page_id, cell ORDER BY pos) AS prev_x1, max(x1) OVER (PARTITION BY page_id, cell) AS edge_r, min(x0) OVER (PARTITION BY page_id, cell) AS edge_l
       FROM (""" + CELL_ORDER + "))"
 
+#: Direction of cells (here: each fourth box) by the vote of their boxes, and of the page by that of its cells; a tie is horizontal.
+PAGE_DIRECTION = """
+    SELECT page_id, count(*) AS cells, sum(across) AS across_cells, 2 * sum(across) >= count(*) AS across FROM (
+      SELECT page_id, det_no % 4 AS cell, CASE WHEN 2 * sum(CASE WHEN 3 * (x1 - x0) >= 2 * (y1 - y0) THEN 1 ELSE 0 END) >= count(*) THEN 1 ELSE 0 END AS across
+      FROM {boxes} GROUP BY page_id, det_no % 4)
+    GROUP BY page_id"""
+
 QUERIES = {
-    "blocks_flagship": BLOCKS, "layout_assign": LAYOUT_ASSIGN, "supplementary_region": SUPPLEMENTARY_REGION, "row_tolerance": ROW_TOLERANCE, "cell_order": CELL_ORDER,
+    "page_direction": PAGE_DIRECTION, "blocks_flagship": BLOCKS, "layout_assign": LAYOUT_ASSIGN, "supplementary_region": SUPPLEMENTARY_REGION, "row_tolerance": ROW_TOLERANCE, "cell_order": CELL_ORDER,
     "block_rank": BLOCK_RANK, "layout_gate": LAYOUT_GATE, "oversized_image": OVERSIZED_IMAGE, "iou_pairs": IOU_PAIRS, "nearest_neighbours": NEAREST_NEIGHBOURS,
     "projection_segments": PROJECTION_SEGMENTS, "detection_sort": DETECTION_SORT, "yx_fallback_order": YX_ORDER, "reading_coverage": COVERAGE, "class_labels": CLASS_LABELS,
     "paragraph_start": PARAGRAPH_START,

@@ -39,4 +39,17 @@ CHAR_PRESENCE = f"SELECT doc_id, round($PRESENT(want, got) * 1.0D / greatest(1,
 POOLED = f"""
     SELECT doc_id % 10 AS pool, CAST(sum(inter) AS BIGINT) AS inter, round(2.0D * CAST(sum(inter) AS BIGINT) / greatest(1, CAST(sum(n_got) + sum(n_want) AS BIGINT)), 9) AS f1 FROM ({_SUMS}) GROUP BY doc_id % 10"""
 
-QUERIES = {"word_f1": WORD_F1, "set_f1": SET_F1, "cer": CER, "char_presence": CHAR_PRESENCE, "pooled_f1": POOLED}
+_LETTERS = "SELECT doc_id, $LETTERS(want) AS want, $LETTERS(got) AS got FROM (" + _SHORT + ")"
+
+
+def _letter_bag(side: str) -> str:
+    return f"SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, $EXPLODE({side}) AS t FROM ({_LETTERS})) GROUP BY doc_id, t"
+
+
+#: Share of the expected letters and digits that the text has, each as often.
+CHAR_BAG = f"""
+    SELECT doc_id, CAST(sum(n) AS BIGINT) AS expected, CAST(sum(found) AS BIGINT) AS found FROM (
+      SELECT w.doc_id, w.n, least(w.n, coalesce(g.n, 0)) AS found FROM ({_letter_bag("want")}) w LEFT JOIN ({_letter_bag("got")}) g ON g.doc_id = w.doc_id AND g.t = w.t)
+    GROUP BY doc_id"""
+
+QUERIES = {"char_bag": CHAR_BAG, "word_f1": WORD_F1, "set_f1": SET_F1, "cer": CER, "char_presence": CHAR_PRESENCE, "pooled_f1": POOLED}

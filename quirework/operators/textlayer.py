@@ -19,7 +19,7 @@ VERIFIED_TEXT = f"""
 
 #: For each requested mode, page and layout flag: the mode in force, where text comes from, whether to render.
 MODE_MATRIX = f"""
-    SELECT q.page_id, m.mode, l.layout, q.quality,
+    SELECT q.page_id, m.mode, l.layout, CASE WHEN m.mode = 'ocr' THEN 'absent' ELSE q.quality END AS quality,
       CASE WHEN m.mode = 'ocr' THEN 'ocr' WHEN m.mode = 'geometric' THEN 'geometric' WHEN m.mode = 'auto_verified' THEN 'auto_verified'
            WHEN q.quality = 'trusted' THEN 'geometric' ELSE 'ocr' END AS resolved,
       CASE WHEN m.mode = 'ocr' THEN 'ocr' WHEN m.mode = 'geometric' THEN CASE WHEN q.quality = 'trusted' THEN 'native' ELSE 'none' END
@@ -30,4 +30,11 @@ MODE_MATRIX = f"""
 #: Trailing space, tab, carriage return and line feed go.
 TRIMMED = "SELECT page_id, length($RTRIM(text, concat(' ', chr(9), chr(13), chr(10)))$) AS n FROM {text_pages}"
 
-QUERIES = {"text_layer_quality": QUALITY, "native_text_sanity": SANITY, "verified_text": VERIFIED_TEXT, "pdf_mode_matrix": MODE_MATRIX, "trailing_trim": TRIMMED}
+#: Native text inside a rectangle: lines whose centre lies in it, from top to bottom.
+TEXT_IN_RECT = """
+    SELECT page_id, lid, $JOIN(part, line_no) AS text FROM (
+      SELECT r.page_id, r.lid, i.line_no, concat(i.text, chr(10)) AS part FROM {regions} r JOIN {items} i ON i.page_id = r.page_id
+        AND (i.x0 + i.x1) / 2.0D BETWEEN r.x0 AND r.x1 AND (i.y0 + i.y1) / 2.0D BETWEEN r.y0 AND r.y1)
+    GROUP BY page_id, lid"""
+
+QUERIES = {"text_in_rect": TEXT_IN_RECT, "text_layer_quality": QUALITY, "native_text_sanity": SANITY, "verified_text": VERIFIED_TEXT, "pdf_mode_matrix": MODE_MATRIX, "trailing_trim": TRIMMED}

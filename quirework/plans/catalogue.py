@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from quirework.plans.views import duck_query, spark_query
 
 _SQL_MODULES = ("operators.layout", "operators.output", "operators.recognition", "operators.textlayer", "operators.requests", "operators.scoring", "functions.geometry")
-_CODE_MODULES = ("operators.pagealgorithms", "operators.reading", "sources.images", "streaming.requests")
+_CODE_MODULES = ("operators.pagealgorithms", "operators.reading", "sources.images", "sources.rasters", "streaming.requests")
 
 #: Whole-number columns that the engines type differently; both give a bigint.
 _BIGINT = {
     "blocks_flagship": "x1", "item_json": "id", "layout_assign": "x1", "supplementary_region": "x1", "row_tolerance": "tolerance", "cell_order": "pos x1", "block_rank": "order_index", "projection_segments": "island",
     "detection_sort": "pos", "yx_fallback_order": "pos", "paragraph_start": "pos", "native_text_sanity": "n", "trailing_trim": "n", "box_distances": "cx cy", "binarise": "foreground",
-    "request_metrics": "client_error le_0 le_1 le_2 le_3 le_4 le_5 le_6 le_7 le_8 ok server_error sum_us", "stream_metrics": "server_errors",
+    "request_metrics": "client_error le_0 le_1 le_2 le_3 le_4 le_5 le_6 le_7 le_8 ok server_error sum_us", "stream_metrics": "server_errors", "page_direction": "cells across_cells",
 }
 
 

@@ -63,6 +63,7 @@ DIALECT: dict[str, tuple[str, str]] = {
     r"\$OVER\(([^,()]+), ([^,()]+)\)": (r"size(filter(\1, x -> x > \2))", r"len(list_filter(\1, lambda x: x > \2))"),
     r"\$PRESENT\(([^,()]+), ([^,()]+)\)": (r"size(filter(split(\1, ''), c -> c <> '' AND position(c IN \2) > 0))", r"len(list_filter(string_split(\1, ''), lambda c: c <> '' AND position(c IN \2) > 0))"),
     r"\$TOKENS\(([^,()]+)\)": (r"regexp_extract_all(lower(\1), '[a-z0-9]+', 0)", r"regexp_extract_all(lower(\1), '[a-z0-9]+')"),
+    r"\$LETTERS\(([^,()]+)\)": (r"regexp_extract_all(\1, '[A-Za-z0-9]', 0)", r"regexp_extract_all(\1, '[A-Za-z0-9]')"),
     r"\$EXPLODE\(": ("explode(", "unnest("),
     r"\$SIZE\(": ("size(", "len("),
     r"\$NTH\(([^,()]+), ([^,()]+)\)": (r"sort_array(collect_list(\1))[CAST(\2 AS INT)]", r"list_sort(list(\1))[CAST(\2 AS INT) + 1]"),
