@@ -29,6 +29,9 @@ _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Ends each word in the engine; texts that hold it are not on the fast path.
 _END = "\x01"
 
+#: Words whose ids a worker keeps; what comes later than these is encoded each time.
+KNOWN = 1 << 18
+
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -110,11 +113,28 @@ class Encoder:
             ranks[raw(a + b)] = len(ids)
             ids.append(vocab[a + b])
         self.to_id = np.array(ids).astype(self.kind)
+        self.closes = np.zeros(len(ids), bool)  # ends its word
+        self.closes[[rank for piece, rank in ranks.items() if piece.endswith(_END.encode())]] = True
+        self.known: dict[str, bytes] = {}
         self.engine = tiktoken.Encoding("own", pat_str=f"[^{_END}]+{_END}" if suffix else _BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
+    def _words(self, words: list[str]) -> bytes:
+        """Ids of words, each looked up; those not met before go through the engine together."""
+        found = list(map(self.known.get, words))
+        if None in found:
+            fresh = list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None))
+            ranks = self.engine.encode_to_numpy(_END.join(fresh) + _END, disallowed_special=())
+            ends = ((np.flatnonzero(self.closes[ranks]) + 1) * self.kind.itemsize).tolist()
+            data = self.to_id[ranks].tobytes()
+            new = {w: data[a:b] for w, a, b in zip(fresh, [0, *ends[:-1]], ends, strict=True)}
+            if len(self.known) < KNOWN:
+                self.known |= new
+            found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
+        return b"".join(found)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         out = []
@@ -123,8 +143,8 @@ class Encoder:
                 out.append(self._slow(text))
                 continue
             if self.mode == "words":
-                words = _WORDS.findall(unicodedata.normalize("NFC", text).lower())
-                text = _END.join(words) + _END if words else ""
+                out.append(self._words(_WORDS.findall(unicodedata.normalize("NFC", text).lower())))
+                continue
             out.append(self.to_id[self.engine.encode_to_numpy(text, disallowed_special=())].tobytes() if text else b"")
         return out
 
