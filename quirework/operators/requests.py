@@ -41,12 +41,12 @@ PERCENTILES = """
     SELECT route, n, $NTH(duration_s, half) AS p50, $NTH(duration_s, high) AS p95, $NTH(duration_s, last) AS p99
     FROM (SELECT *, floor(n * 0.5) AS half, floor(n * 0.95) AS high, least(n - 1, floor(n * 0.99)) AS last FROM (SELECT route, duration_s, count(*) OVER (PARTITION BY route) AS n FROM {requests})) GROUP BY route, n, half, high, last"""
 
-#: Raw pixel requests: missing or bad sizes, channels other than 1 and 3, too large, body of another length.
+#: Raw pixel requests: missing sizes, sizes that are no numbers, bad sizes, channels other than 1 and 3, too large, body of another length.
 PIXELS = """
-    SELECT event_id, CASE WHEN w IS NULL OR h IS NULL THEN 'MISSING_HEADER' WHEN w <= 0 OR h <= 0 OR c NOT IN (1, 3) THEN 'INVALID_DIMENSIONS'
+    SELECT event_id, CASE WHEN w IS NULL OR h IS NULL THEN 'MISSING_HEADER' WHEN bad THEN 'INVALID_HEADER' WHEN w <= 0 OR h <= 0 OR c NOT IN (1, 3) THEN 'INVALID_DIMENSIONS'
       WHEN w > 16384 OR h > 16384 THEN 'DIMENSIONS_TOO_LARGE' WHEN body <> w * h * c THEN 'BODY_SIZE_MISMATCH' END AS error_code
     FROM (SELECT event_id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_id % 50 - 1 END AS w, CASE WHEN event_id % 23 = 0 THEN 20000 ELSE user_id % 40 END AS h,
-                 event_id % 4 AS c, (event_id % 50 - 1) * (user_id % 40) * 3 AS body FROM {requests})"""
+                 event_id % 4 AS c, event_id % 19 = 0 AS bad, (event_id % 50 - 1) * (user_id % 40) * 3 AS body FROM {requests})"""
 
 #: Documents with more than 2000 pages (here: lines) are too large.
 PAGE_LIMIT = "SELECT page_id, count(*) AS pages, CASE WHEN count(*) > 2000 THEN 'PDF_TOO_LARGE' END AS error_code FROM {lines} GROUP BY page_id"
