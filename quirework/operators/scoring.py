@@ -1,7 +1,6 @@
 """Accuracy of recognised texts against expected ones: here each document against one benchmark item."""
 
 _PAIRS = "SELECT d.doc_id, b.item_id, d.text AS got, b.text AS want FROM {documents} d JOIN (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY item_id) - 1 AS k FROM {benchmark}) b ON d.doc_id % b.n = b.k"
-_SHORT = f"SELECT doc_id, substr(got, 1, 200) AS got, substr(want, 1, 200) AS want FROM ({_PAIRS})"
 
 
 def _bags(tokens: str) -> tuple[str, str, str]:
@@ -27,26 +26,26 @@ WORD_F1 = f"""
 SET_F1 = f"""
     SELECT doc_id, CASE WHEN k_got = 0 AND k_want = 0 THEN 1.0D WHEN k_got = 0 OR k_want = 0 THEN 0.0D ELSE round(2.0D * kinds / (k_got + k_want), 9) END AS f1 FROM ({_SUMS})"""
 
-#: Character error rate: edits over the length expected, on the printable ASCII of the first 200 characters.
+#: Character error rate: edits over the length expected, on characters of the whole texts.
 CER = f"""
     SELECT doc_id, CASE WHEN length(want) = 0 THEN CASE WHEN length(got) = 0 THEN 0.0D ELSE 1.0D END
-      ELSE round(CAST(levenshtein(got, want) AS DOUBLE) / length(want), 9) END AS cer FROM (SELECT doc_id, $ASCII(got) AS got, $ASCII(want) AS want FROM ({_SHORT}))"""
+      ELSE round(CAST($EDITS(got, want) AS DOUBLE) / length(want), 9) END AS cer FROM ({_PAIRS})"""
 
 #: Share of expected characters that are anywhere in the text.
-CHAR_PRESENCE = f"SELECT doc_id, round($PRESENT(want, got) * 1.0D / greatest(1, length(want)), 9) AS present FROM ({_SHORT})"
+CHAR_PRESENCE = f"SELECT doc_id, round($PRESENT(want, got) * 1.0D / greatest(1, length(want)), 9) AS present FROM ({_PAIRS})"
 
 #: Scores of a group of pages: pooled over its words.
 POOLED = f"""
     SELECT doc_id % 10 AS pool, CAST(sum(inter) AS BIGINT) AS inter, round(2.0D * CAST(sum(inter) AS BIGINT) / greatest(1, CAST(sum(n_got) + sum(n_want) AS BIGINT)), 9) AS f1 FROM ({_SUMS}) GROUP BY doc_id % 10"""
 
-_LETTERS = "SELECT doc_id, $LETTERS(want) AS want, $LETTERS(got) AS got FROM (" + _SHORT + ")"
+_LETTERS = "SELECT doc_id, $LETTERS(want) AS want, $LETTERS(got) AS got FROM (" + _PAIRS + ")"
 
 
 def _letter_bag(side: str) -> str:
     return f"SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, $EXPLODE({side}) AS t FROM ({_LETTERS})) GROUP BY doc_id, t"
 
 
-#: Share of the expected letters and digits that the text has, each as often.
+#: Share of the expected letters and digits, of any script, that the text has, each as often.
 CHAR_BAG = f"""
     SELECT doc_id, CAST(sum(n) AS BIGINT) AS expected, CAST(sum(found) AS BIGINT) AS found FROM (
       SELECT w.doc_id, w.n, least(w.n, coalesce(g.n, 0)) AS found FROM ({_letter_bag("want")}) w LEFT JOIN ({_letter_bag("got")}) g ON g.doc_id = w.doc_id AND g.t = w.t)

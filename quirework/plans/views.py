@@ -49,6 +49,14 @@ VIEWS: dict[str, tuple[tuple[str, ...], str, str | None]] = {
         CROSS JOIN (VALUES (49), (50), (100), (600), (601)) AS d(v) CROSS JOIN (VALUES (true), (false)) AS e(v)""", None),
 }
 
+#: DuckDB's levenshtein counts bytes: each kind of character of the second text becomes a one-byte code, all others of the first text become one more.
+_DUCK_EDITS = (
+    r"(SELECT CASE WHEN len(k) > 126 THEN CAST(error('more than 126 kinds of characters') AS BIGINT) ELSE levenshtein("
+    r"translate(\1, array_to_string(k || o, ''), array_to_string(list_transform(range(1, len(k) + 1), lambda i: chr(CAST(i AS INTEGER))), '') || repeat(chr(127), len(o))), "
+    r"translate(\2, array_to_string(k, ''), array_to_string(list_transform(range(1, len(k) + 1), lambda i: chr(CAST(i AS INTEGER))), ''))) END "
+    r"FROM (SELECT k, list_filter(list_distinct(string_split(\1, '')), lambda c: NOT list_contains(k, c)) AS o FROM (SELECT list_distinct(string_split(\2, '')) AS k)))"
+)
+
 #: macro -> (Spark, DuckDB); \\1, \\2 are its arguments, which hold no comma or bracket.
 DIALECT: dict[str, tuple[str, str]] = {
     r"\$JOIN\(([^,()]+), ([^()]+)\)": (r"listagg(\1, '') WITHIN GROUP (ORDER BY \2)", r"string_agg(\1, '' ORDER BY \2)"),
@@ -63,7 +71,8 @@ DIALECT: dict[str, tuple[str, str]] = {
     r"\$OVER\(([^,()]+), ([^,()]+)\)": (r"size(filter(\1, x -> x > \2))", r"len(list_filter(\1, lambda x: x > \2))"),
     r"\$PRESENT\(([^,()]+), ([^,()]+)\)": (r"size(filter(split(\1, ''), c -> c <> '' AND position(c IN \2) > 0))", r"len(list_filter(string_split(\1, ''), lambda c: c <> '' AND position(c IN \2) > 0))"),
     r"\$TOKENS\(([^,()]+)\)": (r"regexp_extract_all(lower(\1), '[a-z0-9]+', 0)", r"regexp_extract_all(lower(\1), '[a-z0-9]+')"),
-    r"\$LETTERS\(([^,()]+)\)": (r"regexp_extract_all(\1, '[A-Za-z0-9]', 0)", r"regexp_extract_all(\1, '[A-Za-z0-9]')"),
+    r"\$LETTERS\(([^,()]+)\)": (r"regexp_extract_all(\1, '[\\\\pL\\\\pN]', 0)", r"regexp_extract_all(\1, '[\\pL\\pN]')"),
+    r"\$EDITS\(([^,()]+), ([^,()]+)\)": (r"levenshtein(\1, \2)", _DUCK_EDITS),
     r"\$EXPLODE\(": ("explode(", "unnest("),
     r"\$SIZE\(": ("size(", "len("),
     r"\$NTH\(([^,()]+), ([^,()]+)\)": (r"sort_array(collect_list(\1))[CAST(\2 AS INT)]", r"list_sort(list(\1))[CAST(\2 AS INT) + 1]"),
