@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_CHILDREN, DEPTH = 50, 6
+MOST_CHILDREN = 50
 LEAST_LABELS, Z = 5, 1.96
 PURITY, PRIOR, STRENGTH = 0.8, 0.1, 2.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -57,7 +57,7 @@ def segments(path: Column) -> Column:
             .otherwise(s)
         )
 
-    return F.slice(F.transform(F.array_remove(F.split(path, "/"), ""), general), 1, DEPTH)
+    return F.transform(F.array_remove(F.split(path, "/"), ""), general)
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
