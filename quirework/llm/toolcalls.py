@@ -14,13 +14,14 @@ call that follows itself at some distance; depth -1), orphan_result.
 Defined cases: a call with a null identifier has no result and nothing follows
 it; of calls or results with one identifier the first by (position, text) is
 linked and the rest are left out of the join but kept as rows, calls as
-"duplicate" and results as "orphan_result"; a predecessor that doesn't exist
+"duplicate" with their position and event, results as "orphan_result" with
+their result_position and an event of call_id and result; a predecessor that doesn't exist
 counts as none; empty tables give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.llm.workspace import Workspace
@@ -74,9 +75,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     work = work or Workspace(calls.sparkSession)
     calls = calls.select("call_id", "after", "position", "tool", "arguments")
     results = results.select("call_id", F.col("position").alias("result_position"), "content")
-    first = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("position", "tool", "arguments", "after")).alias("x"), F.count("*").alias("copies"))
-    first = work.save(first.select("call_id", "x.*", "copies"), "calls")
-    answer = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("result_position", "content")).alias("y"), F.count("*").alias("answers"))
+    first = calls.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("position", "tool", "arguments", "after")).alias("x"))
+    first = work.save(first.select("call_id", "x.*"), "calls")
+    answer = results.where("call_id IS NOT NULL").groupBy("call_id").agg(F.min(F.struct("result_position", "content")).alias("y"))
 
     parsed = first.withColumn("args", F.try_parse_json("arguments"))
     valid = valid_arguments(F.col("tool"), F.col("args"), schemas)
@@ -88,12 +89,16 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
 
     none = F.lit(None)
     lost = calls.where("call_id IS NULL").select("call_id", "position", none.cast(results.schema["result_position"].dataType).alias("result_position"), F.lit(0).cast("bigint").alias("depth"), F.lit("no_result").alias("status"), F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "tool")).alias("event"))
-    again = first.where("copies > 1").select("call_id", F.explode(F.expr("sequence(2L, copies)")).alias("k"))
-    again = again.select("call_id", none.cast(calls.schema["position"].dataType).alias("position"), none.cast(results.schema["result_position"].dataType).alias("result_position"), F.lit(0).cast("bigint").alias("depth"), F.lit("duplicate").alias("status"), none.cast("string").alias("event"))
-    orphan = answer.join(first.select("call_id"), "call_id", "left_anti").select("call_id", "answers").union(answer.join(first.select("call_id"), "call_id", "left_semi").select("call_id", F.col("answers") - 1))
-    orphan = orphan.where("answers > 0").select("call_id", F.explode(F.expr("sequence(1L, answers)")).alias("k"))
-    unnamed = results.where("call_id IS NULL").select("call_id", F.lit(1).alias("k"))
-    orphan = orphan.unionByName(unnamed).select("call_id", none.cast(calls.schema["position"].dataType).alias("position"), none.cast(results.schema["result_position"].dataType).alias("result_position"), F.lit(0).cast("bigint").alias("depth"), F.lit("orphan_result").alias("status"), none.cast("string").alias("event"))
+    # each copy of a call or result beyond the linked one, numbered in the same order as the join's choice
+    order = Window.partitionBy("call_id")
+    again = calls.where("call_id IS NOT NULL").withColumn("k", F.row_number().over(order.orderBy("position", "tool", "arguments", "after"))).where("k > 1")
+    call = F.to_json(F.struct(F.try_parse_json("arguments").alias("arguments"), "call_id", "tool"))
+    again = again.select("call_id", "position", none.cast(results.schema["result_position"].dataType).alias("result_position"), F.lit(0).cast("bigint").alias("depth"), F.lit("duplicate").alias("status"), call.alias("event"))
+    numbered = results.where("call_id IS NOT NULL").withColumn("k", F.row_number().over(order.orderBy("result_position", "content")))
+    orphan = numbered.join(first.select("call_id", F.lit(True).alias("called")), "call_id", "left").where("called IS NULL OR k > 1").select("call_id", "result_position", "content")
+    orphan = orphan.unionByName(results.where("call_id IS NULL").select("call_id", "result_position", "content"))
+    answered = F.to_json(F.struct("call_id", F.col("content").alias("result")))
+    orphan = orphan.select("call_id", none.cast(calls.schema["position"].dataType).alias("position"), "result_position", F.lit(0).cast("bigint").alias("depth"), F.lit("orphan_result").alias("status"), answered.alias("event"))
     return linked.unionByName(lost).unionByName(again).unionByName(orphan)
 
 
