@@ -71,6 +71,41 @@ def slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = end
 
 
+def _cuts(data: np.ndarray, outside: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about SLICE bytes that end after a byte between words, so memory follows SLICE and not the text; a longer word stays whole."""
+    at = 0
+    while at < len(data):
+        end = at
+        while True:
+            end = min(len(data), end + SLICE)
+            if end == len(data):
+                break
+            between = np.flatnonzero(outside[data[max(at, end - SLICE) : end]])
+            if len(between):
+                end = max(at, end - SLICE) + int(between[-1]) + 1
+                break
+        yield at, end
+        at = end
+
+
+def _words(data: np.ndarray, edge: np.ndarray, base: int, lower: bool, outside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of a piece that starts at `base`; rows end at `edge`."""
+    if lower:
+        data = _LOWER[data]
+    inside = ~outside[data]
+    n = len(data)
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[edge] |= inside[edge]
+    last[edge - 1] |= inside[edge - 1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    power, inverse = _power_tables(n + 1, _BASE)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum((data.astype(_U) + _U(1)) * power[:n], out=sums[1:])
+    return starts + base, ends + base, mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(_U))
+
+
 class Words:
     """The words of a slice: byte positions, hashes, and the range of each row.
 
@@ -78,25 +113,12 @@ class Words:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, letters: bool = False):
-        if lower:
-            data = _LOWER[data]
-        inside = ~(_PUNCTUATION if letters else _SPACE)[data]
-        n = len(data)
-        first, last = inside.copy(), inside.copy()
-        if n:
-            first[1:] &= ~inside[:-1]
-            last[:-1] &= ~inside[1:]
-            edge = offsets[1:-1]
-            edge = edge[(edge > 0) & (edge < n)]
-            first[edge] |= inside[edge]
-            last[edge - 1] |= inside[edge - 1]
-        self.starts = np.flatnonzero(first)
-        self.ends = np.flatnonzero(last) + 1
+        outside = _PUNCTUATION if letters else _SPACE
+        edge = offsets[1:-1]
+        edge = edge[(edge > 0) & (edge < len(data))]
+        parts = [_words(data[a:b], edge[(edge > a) & (edge < b)] - a, a, lower, outside) for a, b in _cuts(data, outside)]
+        self.starts, self.ends, self.hashes = (np.concatenate(x) if len(parts) != 1 else x[0] for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
         self.rows = np.searchsorted(self.starts, offsets)
-        power, inverse = _power_tables(n + 1, _BASE)
-        sums = np.zeros(n + 1, _U)
-        np.cumsum((data.astype(_U) + _U(1)) * power[:n], out=sums[1:])
-        self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(_U))
 
     def of(self, row: int) -> np.ndarray:
         return self.hashes[self.rows[row] : self.rows[row + 1]]
