@@ -10,7 +10,8 @@ before it is shuffled; the join back meets one row a line and host.
 
 Defined cases: a null text has no words and fails the base rules; a null host
 is a host of its own; repeated rows count as documents of their own and get the
-same result; an empty table gives no rows; other columns are ignored.
+same result; a text of any length is one row and counted whole; an empty table
+gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,23 +36,49 @@ def words_of(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """How many words lie in a 3-word window that the text holds twice or more."""
+    """How many words lie in a 3-word window that the text holds twice or more.
+
+    Windows are hashed to 64 bits. Most texts repeat none, which shows without
+    a sort. Else hashes and places are sorted as plain numbers: the place takes
+    the low bits that it needs, and neighbours are compared by the whole hash.
+    """
 
     def windows(w: Column) -> Column:
         places = F.when(F.size(w) >= 3, F.sequence(F.lit(0), F.size(w) - 3)).otherwise(F.array().cast("array<int>"))
-        return F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i"))))
+        return F.transform(places, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
 
-    def starts(s: Column) -> Column:
-        same = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
-        return F.array_sort(F.transform(same, lambda x: x["i"]))
+    def count(h: Column) -> Column:
+        low = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.length(F.bin(F.size(h)))) - 1
+        place = lambda s, k, bits: F.get(s, k).bitwiseAND(bits).cast("int")
+        packed = lambda bits: F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(bits)).bitwiseOR(i.cast("bigint"))))
 
-    covered = F.aggregate(
-        bind(bind(words, windows), starts),
-        F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
-        lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")),
-        lambda a: a["n"],
-    )
-    return covered.cast("bigint")
+        def starts(s: Column, bits: Column) -> Column:
+            own = lambda k: F.get(h, place(s, k, bits))
+            same = F.filter(s, lambda x, k: (own(k) == own(k - 1)) | (own(k) == own(k + 1)))
+            return F.sort_array(F.transform(same, lambda x: x.bitwiseAND(bits).cast("int")))
+
+        covered = F.aggregate(
+            bind(low, lambda bits: bind(packed(bits), lambda s: starts(s, bits))),
+            F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
+            lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3), x - a["last"])).alias("n")),
+            lambda a: a["n"],
+        )
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered)
+
+    return bind(bind(words, windows), count).cast("bigint")
+
+
+def text_facts(text: Column) -> Column:
+    """n_words, word_chars, n_repeat_words, lines (hash and words of each normalised line that has a word): lines are split into words once."""
+
+    def facts(per_line: Column, words: Column) -> Column:
+        line = lambda w: F.struct(F.xxhash64(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("n"))
+        return F.struct(
+            F.size(words).cast("bigint").alias("n_words"), F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"), repeated_words(words).alias("n_repeat_words"),
+            F.transform(F.filter(per_line, lambda w: F.size(w) > 0), line).alias("lines"),
+        )
+
+    return bind(F.transform(F.split(text, "\n"), words_of), lambda per_line: bind(F.flatten(per_line), lambda words: facts(per_line, words)))
 
 
 def lines_of(text: Column) -> Column:
@@ -59,24 +86,22 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
 
-def normal_line(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+def line_hash(line: Column) -> Column:
+    """Of a line in lower case, white space collapsed and trimmed."""
+    return F.xxhash64(F.lower(F.array_join(words_of(line), " ")))
 
 
 def base_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and lines (hash and words of each normalised line)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = bind(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    counts = bind(words_of(text), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    out = docs.withColumn("__counts", counts)
+    repeated_lines = bind(lines_of(text), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    out = docs.withColumn("__facts", text_facts(text))
     return (
-        out.withColumn("n_words", F.col("__counts.n_words"))
-        .withColumn("word_chars", F.length(F.translate(text, " " + _SPACE, "")).cast("bigint"))
+        out.withColumns({c: F.col(f"__facts.{c}") for c in ("n_words", "word_chars", "n_repeat_words", "lines")})
         .withColumn("n_symbols", (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("bigint"))
-        .withColumn("n_dup_lines", lines.cast("bigint"))
-        .withColumn("n_repeat_words", F.col("__counts.n_repeat_words"))
+        .withColumn("n_dup_lines", repeated_lines.cast("bigint"))
         .withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
-        .drop("__counts")
+        .drop("__facts")
     )
 
 
@@ -88,8 +113,7 @@ def judge_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = work or Workspace(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), text.alias("text"))
-    hashed = F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("h"), F.size(words_of(x)).alias("n")))
-    rows = work.save(base_rules(rows.withColumn("lines", hashed).withColumn("mark", F.xxhash64("text"))).drop("text"), "rows")
+    rows = work.save(base_rules(rows.withColumn("mark", F.xxhash64("text"))).drop("text"), "rows")
 
     each = rows.select("id", "mark", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("line"))
     common = each.groupBy("host", "line").agg(F.count("*").alias("documents")).where(F.col("documents") > most_documents)
@@ -105,9 +129,9 @@ def judge_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_lines(docs: DataFrame, judged: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The kept documents, their text without the lines that judge_lines found too common."""
+    """The kept documents, their text without the lines that judge_lines found too common. All columns of docs stay."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marks = judged.where("kept").select(F.col(id_col).alias("__id"), F.col("mark").alias("__mark"), "common").dropDuplicates(["__id", "__mark"])
+    marks = judged.where("kept").select(F.col(id_col).alias("__id"), F.col("mark").alias("__mark"), F.col("common").alias("__common")).dropDuplicates(["__id", "__mark"])
     out = docs.join(marks, docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__mark")))
-    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("common", F.xxhash64(normal_line(x)))), "\n")
-    return out.withColumn(text_col, F.when(F.col("common").isNull(), text).otherwise(left)).select(*docs.columns)
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains("__common", line_hash(x))), "\n")
+    return out.withColumn(text_col, F.when(F.col("__common").isNull(), text).otherwise(left)).select(*docs.columns)
