@@ -172,7 +172,8 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY t)""",
     "op10_mixing": """
-        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+        WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
+                   ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS draw FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
         w AS (SELECT *, (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1 AS weight, source_size * 3 AS lim FROM s),
         l AS (SELECT *, lim / weight AS level, sum(source_size) OVER () AS total FROM w),
@@ -180,9 +181,11 @@ ORACLES: dict[str, str] = {
                  / sum(weight) OVER (ORDER BY level, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM l),
         f AS (SELECT min({'level': level, 'share': share}) AS found FROM c WHERE level > share),
         t AS (SELECT source, source_size, CASE WHEN found IS NULL OR level < found.level THEN lim::DOUBLE ELSE weight * found.share END AS target FROM c, f),
-        r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
-              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size, source_size, target,
-               ((floor(rate) + CASE WHEN ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496.0 < rate - floor(rate)
-                     THEN 1 ELSE 0 END)::BIGINT * size)::BIGINT AS taken FROM r""",
+        r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        u AS (SELECT r.*, k, (draw + k * 140737488355328) % 4503599627370496 / 4503599627370496.0::DOUBLE < rate - floor(rate) AS again FROM r, range(0, 32) AS x(k)),
+        e AS (SELECT source, k, abs(floor(any_value(rate)) * any_value(source_size) + sum(CASE WHEN again THEN size ELSE 0 END)::BIGINT - any_value(target)) AS off FROM u GROUP BY source, k),
+        b AS (SELECT source, min({'off': off, 'k': k}).k AS k FROM e GROUP BY source)
+        SELECT doc_id, size, source_size, target, ((floor(rate) + again::INTEGER)::BIGINT * size)::BIGINT AS taken
+        FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source AND u.k = b.k""",
 }

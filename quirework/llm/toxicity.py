@@ -214,3 +214,11 @@ def judge(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None,
     chain = train(docs, known, ("low_quality", "toxic"), id_col=id_col, text_col=text_col)
     out = score(docs.drop("kept"), chain, text_col=text_col)
     return out.withColumn("kept", F.col("p_toxic") < (chain.limits[-1] if threshold is None else threshold))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that `judge` keeps, with all their columns, also those named like an output."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
+    known = labels.withColumnRenamed(id_col, f"__doc_{id_col}")
+    out = judge(own, known, id_col=f"__doc_{id_col}", text_col=f"__doc_{text_col}").where("kept")
+    return out.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])

@@ -26,15 +26,31 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Bytes of (compressed) input for each partition of a sort.
+PARTITION = 64 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a shuffle of all of df: by the bytes of the tables that it reads, the session's number at least.
+
+    A table whose size isn't known doesn't count.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(least, -(-sum(x for x in sizes if x < 1 << 60) // PARTITION))
+
+
 class Workspace:
-    """One folder of written tables. ``drop`` or ``clear`` removes what later steps don't read."""
+    """One folder of written tables. ``drop`` or ``clear`` removes what later steps don't read.
 
-    opened: list["Workspace"] = []
+    An operator's result reads its tables; whoever has written or collected
+    the result clears the workspace that was given to the operator.
+    """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_root(spark)}/tables-{uuid.uuid4().hex}"
-        Workspace.opened.append(self)
 
     def save(self, df: DataFrame, name: str, **options) -> DataFrame:
         options = {"compression": "zstd"} | options
@@ -55,9 +71,3 @@ class Workspace:
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-    @classmethod
-    def clear_all(cls) -> None:
-        """For a driver program that has written the results of every earlier operator."""
-        while cls.opened:
-            cls.opened.pop().clear()

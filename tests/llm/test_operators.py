@@ -175,11 +175,38 @@ def test_repeated_passages_made_hard(spark):
         assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id, texts[r.doc_id]]
 
 
-def test_repeated_passages_odd(odd, empty):
-    assert substring.repeated_spans(odd).count() == 11
+def test_repeated_passages_odd(spark, odd, empty):
+    want = spans_by_force([(r.doc_id, r.text) for r in odd.collect()])
+    got = substring.repeated_spans(odd).collect()
+    assert sorted(((r.n_words, r.n_removed, r.kept_sha256) for r in got)) == sorted(want[r.doc_id, r.text] for r in odd.collect())
     assert substring.repeated_spans(empty).count() == 0
 
 
+def test_repeated_passages_of_null_and_extreme_ids(spark):
+    """Nulls come after the largest id, and rows with one id keep what they share."""
+    top = (1 << 63) - 1
+    passage = [f"p{i}" for i in range(80)]
+    rows = [(i, " ".join([f"{k}.{j}" for j in range(7)] + passage[k % 3 :] + [f"{k}:{j}" for j in range(5)])) for k, i in enumerate([None, top, None, -5, top, 3, -(1 << 63)])]
+    for use in (rows, rows[:3], rows[:5]):
+        want = spans_by_force(use)
+        got = substring.repeated_spans(spark.createDataFrame(use, "doc_id bigint, text string").repartition(3)).collect()
+        assert sorted((r.doc_id or 0, r.doc_id is None, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((i or 0, i is None, *want[i, t]) for i, t in use)
+
+
+def test_spans_that_differ_from_their_source_stay(spark, monkeypatch):
+    """Window and edge hashes that are all alike propose everything; the words decide."""
+    path = {"pos": [0], "path": [None], "least": [None], "joined": [None], "last": [None]}
+    starts = [{"pos": k, "id": 1, "place": substring._place(k + 4, 0, 9)} for k in (2, 3, 4, 7)]
+    assert substring._spans(path, starts, (5, 0), 50, 10) == [(2, 52, 1, substring._place(6, 0, 9)), (7, 50, 1, substring._place(11, 0, 9))]
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(60))
+    tie = substring._tie(substring._digest(text.encode()))
+    right = substring._span_digest(text.encode().split(), 3, 50)
+    batch = pa.RecordBatch.from_pylist([{"id": 2, "none": 0, "tie": tie, "text": text, "spans": [{"at": 3, "length": 50, "digest": d}]} for d in (right, b"x" * 16)])
+    assert next(substring._finish(iter([batch]))).column("n_removed").to_pylist() == [50, 0]
+
+
 def test_tool_calls(spark):
     calls = [("a", None, 0, "respond", '{"query":"q","n_words":1}'), ("b", "a", 1, "respond", '{"n_words": 2, "query": "r"}'), ("c", "b", 2, "respond", '{"query":1,"n_words":2}'), ("d", "e", 3, "respond", "{}"),
              ("e", "d", 4, "respond", "{}"), ("f", "zz", 5, "other", "{}"), ("g", "c", 6, "respond", "not json"), (None, None, 7, "respond", None), ("a", None, 9, "respond", "{}")]
