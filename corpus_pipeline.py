@@ -1,7 +1,13 @@
 """A training corpus from documents: reject toxic ones, drop exact and near copies, mix sources, pack.
 
-Each stage's result is written and read again as the next one's documents, so
-every stage starts by removing the tables that the ones before it needed.
+Each stage's result is written and read again as the next one's documents. A
+stage's own tables live in one workspace, which the next stage removes first; no
+other operator's tables are touched.
+
+Defined cases, in every stage: null and empty texts, repeated rows, null ids and
+sources, and texts of any length are handled as the stage's operator says; an
+empty table gives no rows; columns other than doc_id, text and source are carried
+through unchanged, whatever their names, up to packing, which gives pieces.
 """
 
 from __future__ import annotations
@@ -13,37 +19,44 @@ from quirework.llm.mixing import mixed
 from quirework.llm.neardedup import drop_near_duplicates
 from quirework.llm.packing import pack_documents, with_crc32
 from quirework.llm.queries import table, vocabulary
-from quirework.llm.toxicity import judge
+from quirework.llm.toxicity import accepted
 from quirework.llm.workspace import Workspace
 
 
+_last: list[Workspace] = []
+
+
+def _workspace(spark: SparkSession) -> Workspace:
+    """A workspace for one stage. The tables of the stage before, whose result has been written by now, go."""
+    while _last:
+        _last.pop().clear()
+    _last.append(Workspace(spark))
+    return _last[0]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain doesn't reject."""
-    return judge(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    """Documents that the classifier chain doesn't reject; all if there are no labels of both kinds."""
+    return accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the smallest doc_id."""
-    Workspace.clear_all()
-    return drop_duplicates(docs)
+    return drop_duplicates(docs, work=_workspace(spark))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id."""
-    Workspace.clear_all()
-    return drop_near_duplicates(docs)
+    return drop_near_duplicates(docs, work=_workspace(spark))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their source ask for."""
-    Workspace.clear_all()
-    return mixed(docs)
+    return mixed(docs, work=_workspace(spark))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their place in sequences of 1024 tokens."""
-    Workspace.clear_all()
-    return with_crc32(pack_documents(docs, vocabulary("byte_bpe_50k.json"), window=1024, end_id=0).drop("doc_row"))
+    return with_crc32(pack_documents(docs, vocabulary("byte_bpe_50k.json"), window=1024, end_id=0, work=_workspace(spark)).drop("doc_row"))
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
@@ -55,7 +68,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder."""
     work = Workspace(spark)
-    Workspace.opened.remove(work)  # what the stages hand on stays while later ones clear up
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -63,7 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs = work.save(docs, name)
             if i:
                 work.drop(STAGES[i - 1][0])
-    Workspace.opened.append(work)
     return docs
 
 
