@@ -7,11 +7,14 @@ pair. The two agree if every entry of the vocabulary, encoded alone, gives
 itself: all merges of lower rank inside an entry's bytes happen in any text as
 they do in the entry alone, so no other pair ever meets there. That is tested
 when the file is loaded; a file that fails, and each text with characters
-beyond Latin script, goes through `tokenizers`.
+beyond Latin script or with the string of an added token, goes through
+`tokenizers` with its own defaults.
 """
 
 from __future__ import annotations
 
+import contextlib
+import itertools
 import json
 import os
 import re
@@ -78,10 +81,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype(kind)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0) > np.iinfo(self.kind).max:
+            raise ValueError(f"ids of {path} don't fit {self.kind.itemsize} bytes")
+        self.added = sorted({y for x in spec.get("added_tokens") or [] for y in (x["content"][:2], x["content"][:2].lower(), x["content"][:2].upper())})
         self.mode = _kind_of(spec)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"].get("merges", [])]
         suffix = "</w>" if self.mode == "words" else ""
@@ -116,37 +121,60 @@ class Encoder:
         self.closes = np.zeros(len(ids), bool)  # ends its word
         self.closes[[rank for piece, rank in ranks.items() if piece.endswith(_END.encode())]] = True
         self.known: dict[str, bytes] = {}
+        self.known_runs: dict[str, bytes] = {}
         self.engine = tiktoken.Encoding("own", pat_str=f"[^{_END}]+{_END}" if suffix else _BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
-    def _words(self, words: list[str]) -> bytes:
-        """Ids of words, each looked up; those not met before go through the engine together."""
-        found = list(map(self.known.get, words))
-        if None in found:
-            fresh = list(dict.fromkeys(w for w, x in zip(words, found, strict=True) if x is None))
-            ranks = self.engine.encode_to_numpy(_END.join(fresh) + _END, disallowed_special=())
-            ends = ((np.flatnonzero(self.closes[ranks]) + 1) * self.kind.itemsize).tolist()
-            data = self.to_id[ranks].tobytes()
-            new = {w: data[a:b] for w, a, b in zip(fresh, [0, *ends[:-1]], ends, strict=True)}
-            if len(self.known) < KNOWN:
-                self.known |= new
-            found = [new[w] if x is None else x for w, x in zip(words, found, strict=True)]
-        return b"".join(found)
+    def _looked_up(self, keys: list[str], known: dict[str, bytes], make) -> list[bytes]:
+        """Ids of each key; make(list of keys) gives those of all that weren't met before."""
+        found = list(map(known.get, keys))
+        missing, at = [], -1
+        with contextlib.suppress(ValueError):
+            while True:
+                at = found.index(None, at + 1)
+                missing.append(at)
+        if missing:
+            fresh = list(dict.fromkeys(map(keys.__getitem__, missing)))
+            new = dict(zip(fresh, make(fresh), strict=True))
+            if len(known) < KNOWN:
+                known |= new
+            for at in missing:
+                found[at] = new[keys[at]]
+        return found
+
+    def _from_engine(self, words: list[str]) -> list[bytes]:
+        ranks = self.engine.encode_to_numpy(_END.join(words) + _END, disallowed_special=())
+        ends = ((np.flatnonzero(self.closes[ranks]) + 1) * self.kind.itemsize).tolist()
+        data = self.to_id[ranks].tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _from_words(self, runs: list[str]) -> list[bytes]:
+        parts = [_WORDS.findall(r) for r in runs]
+        ids = iter(self._looked_up([w for part in parts for w in part], self.known, self._from_engine))
+        return [b"".join([next(ids) for _ in part]) for part in parts]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        """What stands between white space is looked up, as no word spans it; what wasn't met before is parted into words."""
+        runs = [(x if x.isascii() else unicodedata.normalize("NFC", x)).lower().split() for x in texts]
+        found = self._looked_up([r for own in runs for r in own], self.known_runs, self._from_words)
+        ends = list(itertools.accumulate(map(len, runs)))
+        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _holds_added(self, text: str) -> bool:
+        """Has the text the first two characters of an added token, in any case? Only such texts can hold one."""
+        return any(a in text for a in self.added)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        out = []
-        for text in texts:
-            if self.mode is None or _SLOW.search(text):
-                out.append(self._slow(text))
-                continue
-            if self.mode == "words":
-                out.append(self._words(_WORDS.findall(unicodedata.normalize("NFC", text).lower())))
-                continue
-            out.append(self.to_id[self.engine.encode_to_numpy(text, disallowed_special=())].tobytes() if text else b"")
-        return out
+        slow = [self.mode is None or bool(_SLOW.search(x)) or self._holds_added(x) for x in texts]
+        fast = [x for x, s in zip(texts, slow, strict=True) if not s]
+        if self.mode == "words":
+            done = iter(self._by_words(fast))
+        else:
+            done = (self.to_id[self.engine.encode_to_numpy(x, disallowed_special=())].tobytes() if x else b"" for x in fast)
+        return [self._slow(x) if s else next(done) for x, s in zip(texts, slow, strict=True)]
 
 
 def encoder(path: str, kind: str = "<u2") -> Encoder:

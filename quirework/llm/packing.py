@@ -3,17 +3,24 @@
 Each document is cut into whole windows and one tail. The histogram of tail
 lengths (at most ``window`` numbers) goes to the driver, where combinations of
 up to three lengths that fill a window exactly are enumerated and their repeat
-counts are fitted to the histogram by non-negative least squares, coordinate by
-coordinate. Counts are rounded down; tails that no combination takes form one
-residual stream, packed greedily and cut where a window is full.
+counts are fitted to the histogram by non-negative least squares: coordinates
+that break the optimality conditions are moved, the worst first, until none
+breaks them by more than TOLERANCE of the largest count. Counts are rounded;
+tails that no combination takes form one residual stream, packed greedily, the
+longest first, and cut where a window is full. The fit is what saves cuts: the
+stream alone would cut a document at nearly every window's end.
 
 Where a piece goes follows from its rank among the pieces of its length. Ranks
 come from counts by (partition, length), so no task holds all pieces of a
-length, however common it is.
-
-Defined cases: a null or empty text is its end token alone; repeated rows are
-packed one by one; an empty table gives no rows; columns other than the two
-named are ignored. Window sizes up to 4096 are accepted.
+length, however common it is. Those counts grow with the partitions of the
+input, so Spark broadcasts them only below its threshold and shuffles by
+(length, partition) beyond.
+
+Defined cases: a null or empty text is its end token alone; a text of any length
+is encoded whole and cut into windows; repeated rows are packed one by one; an
+empty table gives no rows; columns other than the two named are ignored. Window
+sizes up to 4096 are accepted; ids that don't fit the bytes asked for are an
+error.
 """
 
 from __future__ import annotations
@@ -31,42 +38,60 @@ from quirework.llm.encoding import encoder
 from quirework.llm.workspace import Workspace
 
 
-def combinations(window: int, present: np.ndarray) -> list[tuple[int, ...]]:
-    """Every way to fill the window with two or three of the lengths present."""
-    out = [(a, window - a) for a in range(window // 2, 0, -1) if present[a] and present[window - a]]
+#: Largest breach of the optimality conditions, as a share of the largest count; coordinates moved in one round; most rounds.
+TOLERANCE, MOVED, ROUNDS = 1e-4, 2000, 3000
+
+
+def combinations(window: int, present: np.ndarray) -> np.ndarray:
+    """Every way to fill the window with two or three of the lengths present, as rows of three lengths (0: none); pairs first."""
+    a = np.arange(1, window // 2 + 1)[::-1]
+    pairs = np.stack((a, window - a, np.zeros_like(a)), 1)
+    out = [pairs[present[a] & present[window - a]]]
     for a in range(1, window // 3 + 1):
         if present[a]:
             b = np.arange(a, (window - a) // 2 + 1)
             c = window - a - b
             fits = present[b] & present[c]
-            out += [(a, x, y) for x, y in zip(b[fits].tolist(), c[fits].tolist(), strict=True)]
-    return out
+            out.append(np.stack((np.full(fits.sum(), a), b[fits], c[fits]), 1))
+    return np.concatenate(out)
 
 
-def solve(hist: np.ndarray, window: int, sweeps: int = 3) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations with whole repeat counts that the histogram can pay for.
-
-    Minimises ||A x - hist|| for x >= 0 by cyclic coordinate descent from zero;
-    two-piece combinations come first, so few columns get weight.
-    """
+def fit(hist: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts x >= 0 that minimise ||A x - hist||, hist - A x), column j of A having a one for each length of found[j]."""
     left = hist.astype(float)
-    found = combinations(window, hist > 0)
+    left[0] = 0
     counts = np.zeros(len(found))
-    for _ in range(sweeps):
-        moved = 0.0
-        for j, lengths in enumerate(found):
-            uses = {}
-            for a in lengths:
-                uses[a] = uses.get(a, 0) + 1
-            step = sum(left[a] * k for a, k in uses.items()) / sum(k * k for k in uses.values())
-            step = max(step, -counts[j])
-            if abs(step) > 1e-9:
-                counts[j] += step
-                for a, k in uses.items():
-                    left[a] -= step * k
-                moved += abs(step)
-        if moved < 0.5:
+    same = [(found[:, i] == found[:, j]) & (found[:, i] > 0) for i in range(3) for j in range(3)]
+    norms = np.sum(same, 0)
+    tolerance = max(0.5, TOLERANCE * hist.max(initial=0))
+    order = np.flatnonzero(found[:, 2] == 0)  # two-piece combinations come first, so few columns get weight
+    for _ in range(ROUNDS):
+        for j in order.tolist():
+            a, b, c = found[j].tolist()
+            step = max((left[a] + left[b] + left[c]) / norms[j], -counts[j])
+            counts[j] += step
+            for x in (a, b, c):
+                left[x] -= step
+            left[0] = 0
+        worst = breach(counts, left, found)
+        order = np.argsort(-worst, kind="stable")[:MOVED]
+        order = order[worst[order] > tolerance]
+        if not len(order):
             break
+    return counts, left
+
+
+def breach(counts: np.ndarray, left: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """How far each coordinate is from the optimality conditions: no gradient where it is positive, none upwards where it is 0."""
+    gradient = left[found].sum(1)
+    return np.where(counts > 0, np.abs(gradient), np.maximum(gradient, 0))
+
+
+def solve(hist: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]]:
+    """Combinations with whole repeat counts that the histogram can pay for."""
+    found = combinations(window, hist > 0)
+    counts, _ = fit(hist, found)
+    found = [tuple(x for x in row if x) for row in found.tolist()]
     have, out = hist.copy(), []
     for j in np.argsort(-counts, kind="stable"):
         if counts[j] < 0.5:
@@ -139,7 +164,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
 
     table = docs.sparkSession.createDataFrame(places, "length int, taken bigint, stream bigint, slots array<struct<first: bigint, sequence: bigint, offset: int>>")
     rank = F.col("base") + F.col("idx")
-    # two bounded tables: one row for each length, one for each (length, partition)
+    # one row for each length; rows for each (length, partition) grow with the partitions, so Spark chooses how to join them
     ranked = pieces.join(offsets, ["length", "part"]).withColumn("rank", rank).join(F.broadcast(table), "length")
     slot = F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("rank")), -1)
     at = F.col("stream") + (F.col("rank") - F.col("taken")) * F.col("length")
@@ -167,6 +192,16 @@ def sequences(hist: np.ndarray, window: int) -> list[tuple[tuple[int, ...], int]
     return whole + solve(tails, window)
 
 
+def cuts(hist: np.ndarray, window: int, packed: list[tuple[tuple[int, ...], int]]) -> int:
+    """Pieces that the residual stream cuts in two."""
+    cut = 0
+    for length, used, stream, _ in _places(hist, window, packed):
+        rest = int(hist[length]) - used
+        ends = np.arange(1, rest + 1, dtype=np.int64) * length + stream
+        cut += int((((ends - 1) // window) > ((ends - length) // window)).sum())
+    return cut
+
+
 def _places(hist: np.ndarray, window: int, packed: list[tuple[tuple[int, ...], int]]) -> list[tuple]:
     """For each length: ranks below `taken` go to slots, the rest to the residual stream from `stream` on."""
     used, slots, sequence = np.zeros(window + 1, np.int64), {}, 0

@@ -1,15 +1,17 @@
 """Token ids as Parquet list columns.
 
-Documents are dealt by sampled splitters on (id, hash of the text), sorted,
-tokenised in that order and written by Spark's own writer: one file a
-partition, int32 lists in dictionary or delta encoding, row groups and pages
+Documents are dealt by sampled splitters on (id, hash of the text, row), sorted,
+tokenised in that order and written by Spark's own writer: one file for each
+PARTITION bytes of input, int32 lists in dictionary or delta encoding, row groups and pages
 of a set size, page indexes on. Rows keep the partition number and the number
 of tokens that stand before them in the file, so the global position of a
 document needs only one total a file.
 
 Ids are written in ascending order, nulls first; rows with one id are ordered
-by a hash of their text. Null texts count as empty; an empty table writes an
-empty file set. Columns other than the two named are ignored.
+by a hash of their text, and equal rows, however many, spread over as many files
+as they fill. Null texts count as empty; a text of any length is one list; an
+empty table writes an empty file set. Columns other than the two named are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm.bytetext import text_array
 from quirework.llm.encoding import encoder
+from quirework.llm.workspace import partitions_for
 
 SCHEMA = "doc_id {id}, part int, local_start bigint, n_tokens bigint, tokens array<int>"
 
@@ -48,15 +51,15 @@ def _tokenise(vocabulary: str, end_id: int):
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, encoding: str = "dictionary", row_group_mb: int = 32, page_kb: int = 256) -> None:
-    """Writes the token files. files: their number; by default the session's shuffle partitions.
+    """Writes the token files. files: their number; by default by the bytes of the input, the session's shuffle partitions at least.
 
     encoding: "dictionary", or "delta" for DELTA_BINARY_PACKED values.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"encoding is dictionary or delta, not {encoding}")
-    files = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
+    files = files or partitions_for(docs)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = rows.repartitionByRange(files, "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     schema = SCHEMA.format(id=docs.schema[id_col].dataType.simpleString())
     (
         dealt.mapInArrow(_tokenise(vocabulary, end_id), schema)

@@ -7,13 +7,18 @@ them as they will be on new documents.
 
 Words are lower-cased runs of bytes other than ASCII punctuation and white
 space, told apart by a 64-bit hash. Training takes at most SAMPLE labelled
-documents, the first by a hash of their id; scoring reads every document.
+documents, the first by a hash of their id, and the WORDS words that most of
+them hold, of which a model uses at most TELLING; those are bounds of the model,
+and scoring reads every document whole. Words are counted in Spark, so the driver
+gets at most WORDS counts and, for each document of the sample, the places of its
+words among them.
 
 Defined cases: a null or empty text has no words and gets the probability that
 the model's constant gives; a category whose sample lacks positive or negative
 labels has its smoothed base rate everywhere; an unlabelled or null id is
-scored like any other; repeated labels of an id count by their largest value;
-an empty table gives no rows. Columns of the documents other than the two named
+scored like any other; repeated labels of an id count by their largest value, of
+repeated rows of a labelled id the text of the smallest hash is trained on; a
+text of any length is read a few MB at a time; an empty table gives no rows. Columns of the documents other than the two named
 are carried through, except those named like an output column, which give way.
 """
 
@@ -28,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirework.llm.bytetext import Words, slices, text_array
+from quirework.llm.workspace import Workspace
 
 #: Labelled documents that training may take, words that a model may use, and documents that a word must be in.
 SAMPLE, WORDS, LEAST_DOCUMENTS = 8000, 40_000, 3
@@ -152,24 +158,42 @@ def limit(p: np.ndarray, y: np.ndarray) -> float:
     return float(1 / (1 + np.exp(-logit)))
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
+def _places(words: np.ndarray):
+    """id, hashes of words -> id, places of those that are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            hashes = np.asarray(lists.flatten()).view(np.uint64)
+            ends = np.concatenate(([0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))))
+            at = np.searchsorted(words, hashes)
+            at[at == len(words)] = 0
+            hit = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
+            kept = np.concatenate(([0], np.cumsum(hit)))[ends.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array(at[hit].astype(np.int32)))], names=["id", "places"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], *, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, work: Workspace | None = None) -> Chain:
     """A chain fitted on at most `sample` labelled documents. labels: the id, and a 0/1 column for each category."""
+    own = work or Workspace(docs.sparkSession)
     asked = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(c) for c in categories])
-    taken = asked.orderBy(F.xxhash64("id"), "id").limit(sample)
+    taken = own.save(asked.orderBy(F.xxhash64("id"), "id").limit(sample), "taken")
     kind = docs.schema[id_col].dataType.simpleString()
-    lists = docs.join(F.broadcast(taken.select(F.col("id").alias(id_col))), id_col, "left_semi").select(id_col, text_col).mapInArrow(_word_lists, f"id {kind}, words array<bigint>")
-    got = lists.join(F.broadcast(taken), "id").toArrow().sort_by("id")  # at most `sample` documents
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(taken.select("id")), "id", "left_semi")  # at most `sample` ids
+    chosen = chosen.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    lists = own.save(chosen.mapInArrow(_word_lists, f"id {kind}, words array<bigint>"), "word-lists")
+    common = lists.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("held")).where(F.col("held") >= LEAST_DOCUMENTS)
+    common = common.orderBy(F.desc("held"), "word").limit(WORDS).select("word").toArrow()["word"]
+    common = np.sort(np.asarray(common).view(np.uint64))
+    got = lists.mapInArrow(_places(common), f"id {kind}, places array<int>").join(F.broadcast(taken), "id").toArrow().sort_by("id")  # at most `sample` documents
+    if work is None:
+        own.clear()
     n = got.num_rows
-    column = got["words"].combine_chunks() if n else pa.array([], pa.list_(pa.int64()))
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    hashes = np.asarray(column.flatten()).view(np.uint64) if n else np.zeros(0, np.uint64)
+    column = got["places"].combine_chunks() if n else pa.array([], pa.list_(pa.int32()))
+    cols = np.asarray(column.flatten()).astype(np.int64)
     rows = np.repeat(np.arange(n), np.asarray(pa.compute.list_value_length(column))) if n else np.zeros(0, np.int64)
-    words, held = np.unique(hashes, return_counts=True)
-    common = np.sort(words[np.argsort(-held, kind="stable")[:WORDS]][np.sort(held)[::-1][:WORDS] >= LEAST_DOCUMENTS])
-    at = np.searchsorted(common, hashes)
-    at[at == len(common)] = 0
-    hit = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
-    rows, cols = rows[hit], at[hit]
     fold = np.arange(n) % FOLDS
     before, models, limits = np.zeros((n, 0)), [], []
     for i, category in enumerate(categories):
@@ -204,21 +228,21 @@ def score(docs: DataFrame, chain: Chain, *, text_col: str = "text") -> DataFrame
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, *, threshold: float | None = None, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """docs with p_low_quality, p_toxic and kept. labels: the id, quality, toxic.
 
     kept: p_toxic is below the threshold, by default the one that parts the
     training labels best out of fold.
     """
     known = labels.select(id_col, (1 - F.col("quality")).alias("low_quality"), "toxic")
-    chain = train(docs, known, ("low_quality", "toxic"), id_col=id_col, text_col=text_col)
+    chain = train(docs, known, ("low_quality", "toxic"), id_col=id_col, text_col=text_col, work=work)
     out = score(docs.drop("kept"), chain, text_col=text_col)
     return out.withColumn("kept", F.col("p_toxic") < (chain.limits[-1] if threshold is None else threshold))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", work: Workspace | None = None) -> DataFrame:
     """The rows of docs that `judge` keeps, with all their columns, also those named like an output."""
     own = docs.select(*[F.col(f"`{c}`").alias(f"__doc_{c}") for c in docs.columns])
     known = labels.withColumnRenamed(id_col, f"__doc_{id_col}")
-    out = judge(own, known, id_col=f"__doc_{id_col}", text_col=f"__doc_{text_col}").where("kept")
+    out = judge(own, known, id_col=f"__doc_{id_col}", text_col=f"__doc_{text_col}", work=work).where("kept")
     return out.select(*[F.col(f"`__doc_{c}`").alias(c) for c in docs.columns])

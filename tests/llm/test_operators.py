@@ -31,7 +31,6 @@ def ids_of(name, text):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary(name))
-    tokenizer.encode_special_tokens = True
     return tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -43,6 +42,19 @@ def test_combinations_fill_the_window_and_spend_no_more_than_there_is(hist):
         assert sum(lengths) == 64 and n > 0
         used.update({a: n * lengths.count(a) for a in set(lengths)})
     assert all(used[a] <= hist[a] for a in used)
+    found = packing.combinations(64, hist > 0)
+    counts, left = packing.fit(hist, found)
+    assert (counts >= 0).all() and packing.breach(counts, left, found).max(initial=0) <= max(0.5, packing.TOLERANCE * hist.max())
+    again = hist.astype(float)
+    np.subtract.at(again, found.ravel(), np.repeat(counts, 3))
+    assert np.allclose(again[1:], left[1:])
+    packed = packing.solve(hist, 64)
+    assert packing.cuts(hist, 64, packed) <= packing.cuts(hist, 64, [])
+
+
+def test_the_fit_saves_cuts():
+    hist = np.bincount(np.random.default_rng(1).lognormal(5.5, 1, 20000).astype(int) % 1023 + 1, minlength=1025)  # tails of documents
+    assert packing.cuts(hist, 1024, packing.solve(hist, 1024)) < 0.2 * packing.cuts(hist, 1024, [])
 
 
 def check_packing(rows, want):
@@ -69,7 +81,11 @@ def check_packing(rows, want):
 
 
 def test_packing(docs, texts):
-    check_packing(packing.pack_documents(docs, vocabulary("byte_bpe_50k.json")).collect(), [ids_of("byte_bpe_50k.json", t) + [0] for t in texts.values()])
+    pieces = packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+    check_packing(pieces.collect(), [ids_of("byte_bpe_50k.json", t) + [0] for t in texts.values()])
+    ids = {i: ids_of("byte_bpe_50k.json", t) + [0] for i, t in texts.items()}
+    for r in packing.with_crc32(pieces).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes())
 
 
 def test_packing_odd(odd, empty):
@@ -134,6 +150,65 @@ def test_toxicity_on_documents_held_out(spark, odd, empty):
     assert {r.kept for r in toxicity.judge(docs, known.limit(0)).collect()} == {True}
 
 
+def chain_by_force(texts, labels):
+    """The chain in plain Python words and full gradient descent, far more steps of it, on dense matrices."""
+    words = {i: set(re.findall(rb"[0-9A-Za-z\x80-\xff]+", (t or "").encode().lower())) for i, t in texts.items()}
+    ids = sorted(i for i in labels if i in texts)
+    held = Counter(w for i in ids for w in words[i])
+    common = sorted(w for w, n in held.items() if n >= toxicity.LEAST_DOCUMENTS)
+    place = {w: k for k, w in enumerate(common)}
+    dense = lambda own: np.array([[w in words[i] for w in common] for i in own], float)
+    x, every = dense(ids), list(texts)
+
+    def one(y, use, before):
+        x_, b_, y_ = x[use], before[use], y[use]
+        p, q = (x_[y_ == k].sum(0) for k in (1, 0))
+        m, n = (y_ == 1).sum(), (y_ == 0).sum()
+        pool = (p + q + 1) / (m + n + 2)
+        z = np.abs((p + 0.5) / (m + 1) - (q + 0.5) / (n + 1)) / np.sqrt(pool * (1 - pool) * (1 / m + 1 / n))
+        best = [k for k in np.argsort(-z, kind="stable")[: toxicity.TELLING] if z[k] >= toxicity.LEAST_Z]
+        f = np.column_stack((x_[:, best], b_, np.ones(len(x_))))
+        weight, w = np.where(y_ == 1, 0.5 / m, 0.5 / n), np.zeros(f.shape[1])
+        for _ in range(4000):
+            g = f.T @ ((1 / (1 + np.exp(-f @ w)) - y_) * weight)
+            g[: len(best)] += toxicity.PENALTY * w[: len(best)]
+            w -= g * 4 / (weight @ (f**2).sum(1))
+        return lambda x, before: 1 / (1 + np.exp(-np.column_stack((x[:, best], before, np.ones(len(x)))) @ w))
+
+    before, final, out = np.zeros((len(ids), 0)), np.zeros((len(every), 0)), []
+    for c in range(2):
+        y = np.array([labels[i][c] for i in ids], float)
+        p = np.zeros(len(ids))
+        for k in range(toxicity.FOLDS):
+            use = np.arange(len(ids)) % toxicity.FOLDS != k
+            p[~use] = one(y, use, before)(x, before)[~use]
+        final = np.column_stack((final, one(y, np.ones(len(ids), bool), before)(dense(every), final)))
+        before = np.column_stack((before, p))
+        out.append(toxicity.limit(p, y.astype(bool)))
+    assert place
+    return dict(zip(every, final.tolist(), strict=True)), out[-1]
+
+
+def test_toxicity_against_plain_gradient_descent(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    want, limit = chain_by_force(texts, {r.doc_id: (1 - r.quality, r.toxic) for r in labels.collect()})
+    got = {r.doc_id: r for r in toxicity.judge(docs, labels).collect()}
+    assert got.keys() == want.keys()
+    assert max(abs(got[i].p_toxic - p[1]) for i, p in want.items()) < 0.1
+    assert np.mean([abs(got[i].p_low_quality - p[0]) for i, p in want.items()]) < 0.05
+    assert [i for i, p in want.items() if got[i].kept != (p[1] < limit) and abs(p[1] - limit) > 0.1] == []
+
+
+def test_toxicity_with_repeated_ids(spark):
+    """A labelled id with many rows counts once in the sample; each row is scored by its own text."""
+    rows = [(i, " ".join(["scum"] * (i % 2) + [f"w{i % 7}", f"v{i % 5}", "common"])) for i in range(200)] + [(1, "scum again"), (0, "plain")] * 300
+    labels = [(i, 1, i % 2) for i in range(200)] + [(3, 0, 0), (None, 1, 1)]
+    got = toxicity.judge(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert len(got) == 800 and all(r.kept != ("scum" in r.text) for r in got)
+
+
 def spans_by_force(rows, window=50):
     first, words = {}, {}
     rows = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0))
@@ -238,6 +313,45 @@ def test_token_files_round_trip(spark, odd, empty, encoding):
     assert tokenfile.checksums(spark, f"{work.root}/none").count() == 0
 
 
+def test_token_files_of_documents(spark, docs, texts):
+    """Starts, counts and checksums of the whole table, and what the files' footers say of encodings, row groups and indexes."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    for encoding, name in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        work = Workspace(spark)
+        path = f"{work.root}/tokens"
+        tokenfile.write_tokens(docs, path, vocabulary("word_bpe_49k.json"), end_id=2, files=3, encoding=encoding, row_group_mb=1, page_kb=16)
+        start, want = 0, {}
+        for i in sorted(texts):
+            ids = ids_of("word_bpe_49k.json", texts[i]) + [2]
+            want[i] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)
+        index = {r.doc_id: (r.start, r.n_tokens) for r in tokenfile.read_index(spark, path).collect()}
+        assert {r.doc_id: (*index[r.doc_id], r.ids_crc32) for r in tokenfile.checksums(spark, path).collect()} == want
+        groups = 0
+        for file in glob.glob(path.removeprefix("file://") + "/*.parquet"):
+            footer = pq.ParquetFile(file).metadata
+            groups += footer.num_row_groups
+            for g in range(footer.num_row_groups):
+                columns = {footer.row_group(g).column(c).path_in_schema: footer.row_group(g).column(c) for c in range(footer.num_columns)}
+                tokens = next(c for p, c in columns.items() if p.startswith("tokens"))
+                assert any(name in e or e == name.replace("RLE_", "PLAIN_") for e in tokens.encodings)
+                assert tokens.has_column_index and tokens.has_offset_index and columns["doc_id"].has_column_index
+                assert footer.row_group(g).total_byte_size < 4 << 20
+        assert groups >= 3
+        rows = tokenfile.read_tokens(spark, path, 5, 6)
+        assert "PushedFilters: [IsNotNull(doc_id), GreaterThanOrEqual(doc_id,5), LessThanOrEqual(doc_id,6)]" in rows._jdf.queryExecution().toString()
+
+
+def test_ids_that_do_not_fit_are_an_error():
+    from quirework.llm.encoding import Encoder
+
+    with pytest.raises(ValueError, match="1 bytes"):
+        Encoder(vocabulary("byte_bpe_50k.json"), "<u1")
+
+
 def test_exact_groups(spark, odd, empty):
     rows = [(int(i), f"text  {i % 3}" if i % 4 else None) for i in range(400)]
     got = {r.doc_id: r for r in exactdedup.exact_groups(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), partitions=7).collect()}
