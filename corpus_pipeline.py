@@ -36,7 +36,7 @@ def _workspace(spark: SparkSession) -> Workspace:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier chain doesn't reject; all if there are no labels of both kinds."""
-    return accepted(docs, table(spark, sf_dir, "labels"))
+    return accepted(docs, table(spark, sf_dir, "labels"), work=_workspace(spark))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
