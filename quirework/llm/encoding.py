@@ -21,6 +21,8 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Letters and digits among the characters of the fast path.
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
@@ -156,11 +158,21 @@ class Encoder:
         return [b"".join([next(ids) for _ in part]) for part in parts]
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
-        """What stands between white space is looked up, as no word spans it; what wasn't met before is parted into words."""
-        runs = [(x if x.isascii() else unicodedata.normalize("NFC", x)).lower().split() for x in texts]
-        found = self._looked_up([r for own in runs for r in own], self.known_runs, self._from_words)
-        ends = list(itertools.accumulate(map(len, runs)))
-        return [b"".join(found[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        """What stands between white space is looked up once for all texts, as no word spans it; what wasn't met before is parted into words."""
+        lower = pa.array([(x if x.isascii() else unicodedata.normalize("NFC", x)).lower() for x in texts], pa.large_string())
+        runs = pc.ascii_split_whitespace(lower)
+        coded = runs.flatten().dictionary_encode()
+        ids = self._looked_up(coded.dictionary.to_pylist(), self.known_runs, self._from_words)
+        size = self.kind.itemsize
+        values = np.frombuffer(b"".join(ids), self.kind)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        first = np.cumsum(lengths) - lengths
+        place = np.asarray(coded.indices)
+        each = lengths[place]
+        ends = np.cumsum(each)
+        data = values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[place] - ends + each, each)].tobytes()
+        edges = (np.concatenate(([0], ends))[np.asarray(runs.offsets)] * size).tolist()
+        return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def _holds_added(self, text: str) -> bool:
         """Has the text the first two characters of an added token, in any case? Only such texts can hold one."""
@@ -171,7 +183,7 @@ class Encoder:
         slow = [self.mode is None or bool(_SLOW.search(x)) or self._holds_added(x) for x in texts]
         fast = [x for x, s in zip(texts, slow, strict=True) if not s]
         if self.mode == "words":
-            done = iter(self._by_words(fast))
+            done = iter(self._by_words(fast) if fast else [])
         else:
             done = (self.to_id[self.engine.encode_to_numpy(x, disallowed_special=())].tobytes() if x else b"" for x in fast)
         return [self._slow(x) if s else next(done) for x, s in zip(texts, slow, strict=True)]

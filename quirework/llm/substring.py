@@ -237,8 +237,9 @@ def _proposed(window: int, kmer: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, spans = [], []
-            for row, (d, none, hits, starts) in enumerate(zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True)):
-                found = _spans(_paths_of(hits), starts or [], (d, none), window, kmer)
+            ids, nones, hits, starts = (batch.column(i) for i in (0, 1, 3, 4))
+            for row in range(len(batch)):  # one at a time: as Python objects a batch's hits would be many times their size
+                found = _spans(_paths_of(hits[row].as_py()), starts[row].as_py() or [], (ids[row].as_py(), nones[row].as_py()), window, kmer)
                 rows += [row] * len(found)
                 spans += found
             take = pa.array(rows, pa.int64())

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.bytetext import text_array
+from quirework.llm.bytetext import slices, text_array
 from quirework.llm.encoding import encoder
 from quirework.llm.workspace import partitions_for
 
@@ -38,8 +38,8 @@ def _tokenise(vocabulary: str, end_id: int):
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), text_array(batch.column(1))
-            for at in range(0, len(texts), 256):
-                tokens = [x + end for x in code.encode(texts[at : at + 256].to_pylist())]
+            for at, _, offsets in slices(texts):
+                tokens = [x + end for x in code.encode(texts[at : at + len(offsets) - 1].to_pylist())]
                 counts = np.array([len(x) // 4 for x in tokens], np.int64)
                 ends = np.cumsum(counts)
                 values = pa.array(np.frombuffer(b"".join(tokens), np.int32))
