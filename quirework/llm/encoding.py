@@ -165,12 +165,12 @@ class Encoder:
         ids = self._looked_up(coded.dictionary.to_pylist(), self.known_runs, self._from_words)
         size = self.kind.itemsize
         values = np.frombuffer(b"".join(ids), self.kind)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // size
         first = np.cumsum(lengths) - lengths
         place = np.asarray(coded.indices)
         each = lengths[place]
         ends = np.cumsum(each)
-        data = values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[place] - ends + each, each)].tobytes()
+        data = values[np.repeat(first[place] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
         edges = (np.concatenate(([0], ends))[np.asarray(runs.offsets)] * size).tolist()
         return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 

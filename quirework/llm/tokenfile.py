@@ -29,6 +29,8 @@ from quirework.llm.bytetext import slices, text_array
 from quirework.llm.encoding import encoder
 from quirework.llm.workspace import partitions_for
 
+#: Bytes of text whose words are looked up together.
+TOGETHER = 6 << 20
 SCHEMA = "doc_id {id}, part int, local_start bigint, n_tokens bigint, tokens array<int>"
 
 
@@ -38,7 +40,7 @@ def _tokenise(vocabulary: str, end_id: int):
         end = np.array([end_id], "<i4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), text_array(batch.column(1))
-            for at, _, offsets in slices(texts):
+            for at, _, offsets in slices(texts, TOGETHER):
                 tokens = [x + end for x in code.encode(texts[at : at + len(offsets) - 1].to_pylist())]
                 counts = np.array([len(x) // 4 for x in tokens], np.int64)
                 ends = np.cumsum(counts)
