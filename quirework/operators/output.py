@@ -1,50 +1,73 @@
-"""JSON that clients get: items, regions, pages, batches, documents. One line of SQL text per record, no spaces, keys in a fixed order."""
+"""JSON that clients get: items, regions, blocks, pages, batches, documents. One line of SQL text per record, no spaces, keys in a fixed order.
 
-from quirework.operators.layout import LAYOUT_ASSIGN, SUPPLEMENTARY_REGION
-from quirework.operators.textlayer import QUALITY
+Orders, options, slots' errors and page sizes come from the tables {read},
+{page_options}, {batch_slots} and {pdf_requests}.
+"""
 
-# Names of the layout classes 0 to 24.
-CLASS_NAMES = (
-    "abstract", "algorithm", "aside_text", "chart", "content", "display_formula", "doc_title", "figure_title", "footer", "footer_image", "footnote", "formula_number", "header",
-    "header_image", "image", "inline_formula", "number", "paragraph_title", "reference", "reference_content", "seal", "table", "text", "vertical_text", "vision_footnote",
-)
+from quirework.operators.layout import CLASS_NAME, SUPPLEMENTARY_REGION, blocks
+from quirework.operators.textlayer import QUALITY
 
-_NAME = "CASE class_id " + " ".join(f"WHEN {i} THEN '{name}'" for i, name in enumerate(CLASS_NAMES)) + " ELSE 'SupplementaryRegion' END"
 _QUAD = "concat('[[', x0, ',', y0, '],[', x1, ',', y0, '],[', x1, ',', y1, '],[', x0, ',', y1, ']]')"
 
-#: Items as JSON; those outside all regions belong to the region that follows the last. The source is told where it isn't recognition.
+#: Items as JSON. The source is told where it isn't recognition, the region where the page has any.
 ITEM_JSON = f"""
     SELECT page_id, line_no, id, concat('{{"id":', id, ',"text":', $QUOTE(text), ',"confidence":', $G5(confidence), ',"bounding_box":', {_QUAD},
-           CASE WHEN source = 'ocr' THEN '' ELSE concat(',"source":"', source, '"') END, ',"layout_id":', layout_id, '}}') AS item
-    FROM (SELECT page_id, line_no, text, x0, y0, x1, y1, confidence, coalesce(layout_id, 3) AS layout_id, CASE WHEN line_no % 7 = 3 THEN 'pdf' ELSE 'ocr' END AS source,
-                 row_number() OVER (PARTITION BY page_id ORDER BY line_no) - 1 AS id FROM ({LAYOUT_ASSIGN}))"""
+           CASE WHEN source IN ('', 'ocr') THEN '' ELSE concat(',"source":"', source, '"') END, CASE WHEN cell IS NULL THEN '' ELSE concat(',"layout_id":', cell) END, '}}') AS item
+    FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY line_no) - 1 AS id FROM {{cells}})"""
 
-#: Regions as JSON, the added one with score 1.
+#: Regions as JSON, the added one included.
 LAYOUT_JSON = f"""
-    SELECT page_id, lid, concat('{{"id":', lid, ',"class":"', {_NAME}, '","class_id":', class_id, ',"confidence":', $G5(score), ',"bounding_box":', {_QUAD}, '}}') AS region
-    FROM (SELECT *, CASE WHEN class_id < 0 THEN 1.0D ELSE (page_id * 7 + lid * 3) % 97 / 97.0D END AS score FROM ({SUPPLEMENTARY_REGION}))"""
+    SELECT page_id, lid, concat('{{"id":', lid, ',"class":"', {CLASS_NAME}, '","class_id":', class_id, ',"confidence":', $G5(score), ',"bounding_box":', {_QUAD}, '}}') AS region
+    FROM ({SUPPLEMENTARY_REGION})"""
+
+_PLACED = """
+    SELECT c.page_id, c.cell, c.region_x1, c.text, c.x0, c.y0, c.x1, c.y1, r.pos
+    FROM {cells} c JOIN {read} r ON r.page_id = c.page_id AND r.line_no = c.line_no WHERE c.cell IS NOT NULL"""
+
+#: Paragraph blocks as JSON, numbered by the first of their items in the page's order; the box is the region's.
+BLOCK_JSON = f"""
+    SELECT page_id, oi, concat('{{"id":', oi, ',"layout_id":', cell, ',"class":"', {CLASS_NAME}, '","bounding_box":', {_QUAD}, ',"content":', $QUOTE(content), ',"order_index":', oi, '}}') AS block
+    FROM (SELECT b.page_id, b.cell, b.content, s.class_id, s.x0, s.y0, s.x1, s.y1, row_number() OVER (PARTITION BY b.page_id ORDER BY b.first_pos) - 1 AS oi
+          FROM ({blocks(_PLACED)}) b JOIN ({SUPPLEMENTARY_REGION}) s ON s.page_id = b.page_id AND s.lid = b.cell)"""
+
+# Every part of a page's response as text; null where the page has none.
+_PARTS = f"""
+    SELECT p.page_id, i.items, l.regions, o.ids, b.blocks FROM (SELECT DISTINCT page_id FROM {{cells}}) p
+    LEFT JOIN (SELECT page_id, $COMMA(item, id) AS items FROM ({ITEM_JSON}) GROUP BY page_id) i ON i.page_id = p.page_id
+    LEFT JOIN (SELECT page_id, $COMMA(region, lid) AS regions FROM ({LAYOUT_JSON}) GROUP BY page_id) l ON l.page_id = p.page_id
+    LEFT JOIN (SELECT page_id, $COMMA(id, pos) AS ids FROM (
+                 SELECT n.page_id, CAST(n.id AS STRING) AS id, r.pos FROM (SELECT page_id, line_no, row_number() OVER (PARTITION BY page_id ORDER BY line_no) - 1 AS id FROM {{cells}}) n
+                 JOIN {{read}} r ON r.page_id = n.page_id AND r.line_no = n.line_no) GROUP BY page_id) o ON o.page_id = p.page_id
+    LEFT JOIN (SELECT page_id, $COMMA(block, oi) AS blocks FROM ({BLOCK_JSON}) GROUP BY page_id) b ON b.page_id = p.page_id"""
 
-_RESULTS = f"SELECT page_id, $COMMA(item, id) AS items FROM ({ITEM_JSON}) GROUP BY page_id"
+#: What follows the items in a response: regions, order and blocks, each if asked for (one asks for those before it) and if the page has regions.
+_MORE = """concat(CASE WHEN (want_layout OR want_order OR want_blocks) AND regions IS NOT NULL THEN concat(',"layout":[', regions, ']') ELSE '' END,
+           CASE WHEN (want_order OR want_blocks) AND regions IS NOT NULL THEN concat(',"reading_order":[', coalesce(ids, ''), ']') ELSE '' END,
+           CASE WHEN want_blocks AND regions IS NOT NULL THEN concat(',"blocks":[', coalesce(blocks, ''), ']') ELSE '' END)"""
 
-#: A page's response: its items, and its regions if it has any.
+#: A page's response.
 PAGE_JSON = f"""
-    SELECT r.page_id, concat('{{"results":[', r.items, ']', CASE WHEN l.regions IS NULL THEN '' ELSE concat(',"layout":[', l.regions, ']') END, '}}') AS body
-    FROM ({_RESULTS}) r LEFT JOIN (SELECT page_id, $COMMA(region, lid) AS regions FROM ({LAYOUT_JSON}) GROUP BY page_id) l ON l.page_id = r.page_id"""
+    SELECT page_id, concat('{{"results":[', coalesce(items, ''), ']', {_MORE}, '}}') AS body
+    FROM (SELECT p.*, o.want_layout, o.want_order, o.want_blocks FROM ({_PARTS}) p JOIN {{page_options}} o ON o.page_id = p.page_id)"""
 
-#: Batches of eight pages: a result for each slot, and null or the error of each.
+#: Batches: a result for each slot in its order, and null or the error of each; a slot with an error has no results.
 BATCH_JSON = f"""
-    SELECT batch, concat('{{"batch_results":[', $COMMA(body, page_id), '],"errors":[', $COMMA(error, page_id), ']}}') AS body FROM (
-      SELECT page_id, page_id DIV 8 AS batch, CASE WHEN page_id % 9 = 4 THEN '{{"results":[]}}' ELSE body END AS body, CASE WHEN page_id % 9 = 4 THEN '"IMAGE_DECODE_FAILED"' ELSE 'null' END AS error
-      FROM ({PAGE_JSON}))
+    SELECT batch, concat('{{"batch_results":[', $COMMA(body, slot), '],"errors":[', $COMMA(error, slot), ']}}') AS body FROM (
+      SELECT s.batch, s.slot, CASE WHEN s.error IS NOT NULL OR p.body IS NULL THEN '{{"results":[]}}' ELSE p.body END AS body, CASE WHEN s.error IS NULL THEN 'null' ELSE concat('"', s.error, '"') END AS error
+      FROM {{batch_slots}} s LEFT JOIN ({PAGE_JSON}) p ON p.page_id = s.page_id)
     GROUP BY batch"""
 
-#: Documents of ten pages at 100 dpi, with each page's mode and the quality of its text layer.
+#: Documents: each page with the mode in force, the quality of its text layer, and its size in points where nothing is rendered, else in pixels at the dpi asked for.
 PDF_JSON = f"""
-    SELECT doc, concat('{{"pages":[', $COMMA(page, k), ']}}') AS body FROM (
-      SELECT doc, k, concat('{{"page":', k + 1, ',"page_index":', k, ',"dpi":', dpi, ',"width":827,"height":1170,"results":[', coalesce(items, ''), '],"mode":"', mode, '","text_layer_quality":"', quality, '"}}') AS page
-      FROM (SELECT q.page_id DIV 10 AS doc, q.quality, r.items, row_number() OVER (PARTITION BY q.page_id DIV 10 ORDER BY q.page_id) - 1 AS k,
-                   CASE WHEN q.quality = 'trusted' THEN 72 ELSE 100 END AS dpi, CASE WHEN q.quality = 'trusted' THEN 'geometric' ELSE 'ocr' END AS mode
-            FROM ({QUALITY}) q LEFT JOIN ({_RESULTS}) r ON r.page_id = q.page_id))
+    SELECT doc, concat('{{"pages":[', $COMMA(page, page_index), ']}}') AS body FROM (
+      SELECT doc, page_index, concat('{{"page":', page_index + 1, ',"page_index":', page_index, ',"dpi":', scale, ',"width":', CAST(round(width_pt * scale / 72.0D) AS INT), ',"height":', CAST(round(height_pt * scale / 72.0D) AS INT),
+               ',"results":[', CASE WHEN resolved = 'geometric' AND quality <> 'trusted' THEN '' ELSE coalesce(items, '') END, ']', {_MORE}, ',"mode":"', resolved, '","text_layer_quality":"', quality, '"}}') AS page
+      FROM (SELECT m.*, p.items, p.regions, p.ids, p.blocks, CASE WHEN render THEN m.dpi ELSE 72 END AS scale, m.layout AND render AS want_layout, m.layout AND resolved <> 'geometric' AS want_order, m.layout AND resolved <> 'geometric' AND m.as_blocks AS want_blocks
+            FROM (SELECT r.*, CASE WHEN r.mode = 'ocr' THEN 'absent' ELSE q.quality END AS quality,
+                         CASE WHEN r.mode = 'auto' THEN CASE WHEN q.quality = 'trusted' THEN 'geometric' ELSE 'ocr' END ELSE r.mode END AS resolved,
+                         CASE WHEN r.mode IN ('ocr', 'auto_verified') THEN true WHEN r.mode = 'auto' AND q.quality <> 'trusted' THEN true ELSE r.layout END AS render
+                  FROM {{pdf_requests}} r JOIN ({QUALITY}) q ON q.page_id = r.page_id) m
+            LEFT JOIN ({_PARTS}) p ON p.page_id = m.page_id))
     GROUP BY doc"""
 
 #: Numbers with five significant digits, as C prints them with %g.
@@ -53,4 +76,4 @@ NUMBER_FORMAT = "SELECT event_id, $G5(x) AS text FROM (SELECT event_id, event_id
 #: Strings as JSON, control characters included.
 STRING_ESCAPE = "SELECT page_id, line_no, $QUOTE(t) AS quoted FROM (SELECT page_id, line_no, concat(text, chr(1 + CAST(line_no % 31 AS INT)), '\"', chr(92)) AS t FROM {lines})"
 
-QUERIES = {"item_json": ITEM_JSON, "layout_json": LAYOUT_JSON, "page_json": PAGE_JSON, "batch_json": BATCH_JSON, "pdf_json": PDF_JSON, "number_format": NUMBER_FORMAT, "string_escape": STRING_ESCAPE}
+QUERIES = {"item_json": ITEM_JSON, "layout_json": LAYOUT_JSON, "block_json": BLOCK_JSON, "page_json": PAGE_JSON, "batch_json": BATCH_JSON, "pdf_json": PDF_JSON, "number_format": NUMBER_FORMAT, "string_escape": STRING_ESCAPE}

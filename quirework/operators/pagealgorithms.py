@@ -1,18 +1,20 @@
-"""Sequential algorithms on one page, as plain functions and one grouped map each.
+"""Sequential algorithms on one page, as plain functions, each run over sorted pages in one map.
 
-A page's boxes fit in memory by nature (models give at most some thousand), so
-a group is one page.
+Rows are dealt and sorted by page, and a map takes them batch by batch: many
+pages for one start of a Python function, and never more than a batch and one
+page in memory. A page's boxes fit there by nature (models give some thousand).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirework.plans.views import VIEWS, duck_query, spark_view
+from quirework.plans.views import duck_query, spark_view
 
 Rect = tuple[int, int, int, int]
 
@@ -20,6 +22,8 @@ Rect = tuple[int, int, int, int]
 BINS = 4096
 #: Intersection over union from which a lower score gives way, in one class and across classes; share of a box that counts as inside.
 IOU_SAME, IOU_OTHER, INSIDE = np.float32(0.6), np.float32(0.98), np.float32(0.8)
+#: A cell is foreground above the first; the mean score that a component needs.
+COMPONENT, COMPONENT_SCORE = np.float32(0.05), 0.1
 
 
 def covered_runs(spans: Sequence[tuple[int, int]], min_gap: int = 1) -> list[tuple[int, int]]:
@@ -87,114 +91,189 @@ def _settled(marked: list[int]) -> list[int]:
     return _Settled(marked[1:])
 
 
-def _areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Intersection of one box with many."""
-    wide = np.maximum(0, np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0]))
-    high = np.maximum(0, np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1]))
-    return (wide * high).astype(np.float32)
+def _overlaps(boxes: np.ndarray) -> np.ndarray:
+    """Intersection of each box with each."""
+    sides = [np.maximum(0, np.minimum(boxes[:, None, k + 2], boxes[None, :, k + 2]) - np.maximum(boxes[:, None, k], boxes[None, :, k])) for k in (0, 1)]
+    return (sides[0] * sides[1]).astype(np.float32)
 
 
 def suppress(boxes: np.ndarray, classes: np.ndarray, scores: np.ndarray) -> list[int]:
     """Positions that stay: greedy suppression by score, then boxes that lie inside others go. Ties keep input order."""
+    if not len(boxes):
+        return []
     order = np.argsort(-scores, kind="stable")
+    boxes, classes = boxes[order], classes[order]
     area = ((boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])).astype(np.float32)
-    left = list(order)
-    kept: list[int] = []
-    while left:
-        best, rest = left[0], np.array(left[1:], int)
-        kept.append(int(best))
-        if not len(rest):
-            break
-        inter = _areas(boxes[best], boxes[rest])
-        union = area[best] + area[rest] - inter
-        with np.errstate(divide="ignore", invalid="ignore"):
-            iou = np.where(union > 0, inter / union, np.float32(0))
-            inside = np.where(area[rest] > 0, inter / area[rest], np.float32(0))
-        same = classes[rest] == classes[best]
-        gone = (iou >= np.where(same, IOU_SAME, IOU_OTHER)) | (same & (inside >= INSIDE))
-        left = list(rest[~gone])
-    if not kept:
-        return []
-    own = boxes[kept]
+    inter = _overlaps(boxes)
+    union = area[:, None] + area[None, :] - inter
     with np.errstate(divide="ignore", invalid="ignore"):
-        share = np.stack([np.where(area[k] > 0, _areas(boxes[k], own) / area[k], np.float32(0)) for k in kept])
-    inside = share >= INSIDE  # row: of which box, column: in which
+        iou = np.where(union > 0, inter / union, np.float32(0))
+        inside = np.where(area[None, :] > 0, inter / area[None, :], np.float32(0))  # of the column's box
+    same = classes[:, None] == classes[None, :]
+    gone = (iou >= np.where(same, IOU_SAME, IOU_OTHER)) | (same & (inside >= INSIDE))
+    left = np.ones(len(boxes), bool)
+    for i in range(len(boxes)):
+        if left[i]:
+            left[i + 1 :] &= ~gone[i, i + 1 :]
+    kept = np.flatnonzero(left)
+    share = (inside.T >= INSIDE)[np.ix_(kept, kept)]  # row: of which box, column: in which
     live = np.ones(len(kept), bool)
-    for i in np.flatnonzero(inside.any(1) | inside.any(0)):
+    for i in np.flatnonzero(share.any(1) | share.any(0)):
         if not live[i]:
             continue
-        for j in np.flatnonzero((inside[i] | inside[:, i]) & live):
+        for j in np.flatnonzero((share[i] | share[:, i]) & live):
             if j > i:
-                if inside[i, j]:
+                if share[i, j]:
                     live[i] = False
                     break
                 live[j] = False
-    return [k for k, x in zip(kept, live, strict=True) if x]
+    return order[kept[live]].tolist()
 
 
 def label_components(foreground: np.ndarray) -> np.ndarray:
-    """Each foreground cell's smallest cell number among those joined to it by sides; -1 for the background."""
-    high, wide = foreground.shape
-    labels = np.where(foreground, np.arange(high * wide).reshape(high, wide), -1)
+    """Each foreground cell's smallest cell number among those joined to it by sides; -1 for the background. Grids of a stack (first axis) are apart."""
+    stack = foreground[None] if foreground.ndim == 2 else foreground
+    n, high, wide = stack.shape
+    labels = np.where(stack, np.arange(high * wide).reshape(1, high, wide), -1)
     while True:
-        low = np.where(foreground, labels, high * wide)
+        low = np.where(stack, labels, high * wide)
         best = low.copy()
-        best[1:] = np.minimum(best[1:], low[:-1])
-        best[:-1] = np.minimum(best[:-1], low[1:])
         best[:, 1:] = np.minimum(best[:, 1:], low[:, :-1])
         best[:, :-1] = np.minimum(best[:, :-1], low[:, 1:])
-        best = np.where(foreground, best, -1)
+        best[:, :, 1:] = np.minimum(best[:, :, 1:], low[:, :, :-1])
+        best[:, :, :-1] = np.minimum(best[:, :, :-1], low[:, :, 1:])
+        best = np.where(stack, best, -1)
         if (best == labels).all():
-            return labels
+            return labels.reshape(foreground.shape)
         labels = best
 
 
-def by_page(df: DataFrame, page: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return df.groupBy("page_id").applyInPandas(page, schema)
+def over_pages(df: DataFrame, pages: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, *order: str, key: str = "page_id") -> DataFrame:
+    """pages(rows of whole pages, where each page starts and the end) over df, dealt by page and sorted by it and `order`."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf[key].to_numpy()
+            cut = int((keys != keys[-1]).sum())
+            if not cut and rest and rest[-1][key].iloc[-1] == keys[-1]:
+                rest.append(pdf)
+                continue
+            own = pd.concat([*rest, pdf.iloc[:cut]], ignore_index=True)
+            rest = [pdf.iloc[cut:]]
+            if len(own):
+                yield pages(own, _starts(own[key].to_numpy()))
+        if rest:
+            own = pd.concat(rest, ignore_index=True)
+            yield pages(own, _starts(own[key].to_numpy()))
 
-def order_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("det_no")
-    order = xy_cut(list(pdf[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)))
-    return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "det_no": pdf["det_no"].to_numpy()[order], "pos": range(len(order))})
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def suppress_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("det_no")
-    stay = suppress(pdf[["x0", "y0", "x1", "y1"]].to_numpy(np.int64), pdf["class_id"].to_numpy(), pdf["score"].to_numpy(np.float32))
-    return pdf.iloc[stay][["page_id", "det_no", "class_id"]]
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]))
 
 
-def components_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    grid = np.stack(pdf.sort_values("step")["scores"].to_list()).astype(np.float32)
-    labels = label_components(grid > np.float32(0.05))
-    out = []
-    for label in np.unique(labels[labels >= 0]):
-        y, x = np.nonzero(labels == label)
-        out.append((pdf["page_id"].iloc[0], int(label), int(x.min()), int(y.min()), int(x.max()), int(y.max()), len(x), round(float(grid[y, x].astype(float).mean()), 6)))
-    return pd.DataFrame(out, columns=["page_id", "label", "xmin", "ymin", "xmax", "ymax", "pixels", "score"])
+_SIDES = ["x0", "y0", "x1", "y1"]
+
+
+def order_pages(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    rects = list(map(tuple, pdf[_SIDES].to_numpy().tolist()))
+    orders = [np.array(xy_cut(rects[a:b]), int) + a for a, b in zip(starts, starts[1:], strict=False)]
+    own = pdf.iloc[np.concatenate(orders)]
+    return pd.DataFrame({"page_id": own["page_id"], "det_no": own["det_no"], "pos": np.concatenate([np.arange(len(o)) for o in orders])})
+
+
+def suppress_pages(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    boxes, classes, scores = pdf[_SIDES].to_numpy(np.int64), pdf["class_id"].to_numpy(), pdf["score"].to_numpy(np.float32)
+    stay = [np.array(suppress(boxes[a:b], classes[a:b], scores[a:b]), int) + a for a, b in zip(starts, starts[1:], strict=False)]
+    return pdf.iloc[np.concatenate(stay)][["page_id", "det_no", "class_id"]]
 
 
-def _over(view: str, page, schema: str):
+def component_pages(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    """Boxes, sizes and mean scores of the components of each page's map; pages of one shape go together."""
+    widths = pdf["scores"].map(len).to_numpy()
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, a in enumerate(starts[:-1]):
+        shapes.setdefault((int(starts[k + 1] - a), int(widths[a])), []).append(k)
+    out = []
+    for (high, wide), own in shapes.items():
+        rows = np.concatenate([np.arange(starts[k], starts[k + 1]) for k in own])
+        grid = np.stack(pdf["scores"].to_numpy()[rows]).astype(np.float32).reshape(len(own), high, wide)
+        page, y, x = np.nonzero(grid > COMPONENT)
+        label = label_components(grid > COMPONENT)[page, y, x]
+        key, each = np.unique(page * (high * wide) + label, return_inverse=True)
+        count = np.bincount(each, minlength=len(key))
+        ends = []
+        for v in (x, y):
+            least, most = np.full(len(key), high * wide), np.full(len(key), -1)
+            np.minimum.at(least, each, v)
+            np.maximum.at(most, each, v)
+            ends += [least, most]
+        score = np.bincount(each, grid[page, y, x].astype(float), len(key)) / np.maximum(count, 1)
+        ids = pdf["page_id"].to_numpy()[starts[np.array(own)][key // (high * wide)]]
+        out.append(pd.DataFrame({"page_id": ids, "label": key % (high * wide), "xmin": ends[0], "ymin": ends[2], "xmax": ends[1], "ymax": ends[3], "pixels": count, "score": score.round(6)}))
+    return pd.concat(out)
+
+
+def gated(components: DataFrame, score: float = COMPONENT_SCORE) -> DataFrame:
+    """Components of 3 cells and sides of 3 at least, with a mean score of `score`."""
+    return components.where((F.col("pixels") >= 3) & (F.col("xmax") - F.col("xmin") >= 2) & (F.col("ymax") - F.col("ymin") >= 2) & (F.col("score") >= score))
+
+
+def _over(view: str, pages, schema: str, *order: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return by_page(spark_view(spark, sf_dir, view, {}), page, schema)
+        return over_pages(spark_view(spark, sf_dir, view, {}), pages, schema, *order)
 
     return run
 
 
+_components = _over("steps", component_pages, "page_id bigint, label int, xmin int, ymin int, xmax int, ymax int, pixels bigint, score double", "step")
+
+# Greedy suppression as recursion over the ranks of a page: a list of the boxes that stay, then of those that lie inside others.
+_SUPPRESSED = """, r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY CAST(score AS REAL) DESC, det_no) AS k, CAST((x1 - x0) * (y1 - y0) AS REAL) AS area FROM v_boxes),
+    p AS (SELECT a.page_id, a.k AS i, b.k AS j, a.area AS area_i, b.area AS area_j, a.class_id = b.class_id AS same,
+                 CAST(greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS REAL) AS inter FROM r a JOIN r b ON a.page_id = b.page_id WHERE a.k < b.k),
+    q AS MATERIALIZED (SELECT page_id, i, j, inter / area_i >= CAST(0.8 AS REAL) AS i_in_j, inter / area_j >= CAST(0.8 AS REAL) AS j_in_i,
+                 inter / (area_i + area_j - inter) >= CASE WHEN same THEN CAST(0.6 AS REAL) ELSE CAST(0.98 AS REAL) END OR (same AND inter / area_j >= CAST(0.8 AS REAL)) AS gone FROM p WHERE inter > 0),
+    by_later AS (SELECT page_id, j AS k, list(i) AS stops FROM q WHERE gone GROUP BY page_id, j),
+    by_first AS (SELECT page_id, i AS k, list(j ORDER BY j) FILTER (WHERE i_in_j) AS holders, list(j ORDER BY j) FILTER (WHERE j_in_i) AS held FROM q WHERE i_in_j OR j_in_i GROUP BY page_id, i),
+    step AS MATERIALIZED (SELECT r.page_id, r.k, coalesce(stops, []) AS stops, coalesce(holders, []) AS holders, coalesce(held, []) AS held FROM r LEFT JOIN by_later b ON b.page_id = r.page_id AND b.k = r.k LEFT JOIN by_first f ON f.page_id = r.page_id AND f.k = r.k),
+    greedy AS (SELECT page_id, 0::BIGINT AS k, []::BIGINT[] AS stay FROM (SELECT DISTINCT page_id FROM r)
+               UNION ALL SELECT g.page_id, s.k, CASE WHEN list_has_any(g.stay, s.stops) THEN g.stay ELSE list_append(g.stay, s.k) END FROM greedy g JOIN step s ON s.page_id = g.page_id AND s.k = g.k + 1),
+    kept AS MATERIALIZED (SELECT page_id, arg_max(stay, k) AS stay FROM greedy GROUP BY page_id),
+    clean AS (SELECT page_id, 0::BIGINT AS k, stay FROM kept
+              UNION ALL
+              SELECT page_id, k, CASE WHEN NOT list_contains(stay, k) THEN stay ELSE list_filter(stay, lambda x: NOT (x = k AND holder IS NOT NULL) AND NOT (list_contains(held, x) AND (holder IS NULL OR x < holder))) END
+              FROM (SELECT c.page_id, s.k, c.stay, s.held, list_min(list_filter(s.holders, lambda x: list_contains(c.stay, x))) AS holder FROM clean c JOIN step s ON s.page_id = c.page_id AND s.k = c.k + 1)),
+    last AS (SELECT page_id, arg_max(stay, k) AS stay FROM clean GROUP BY page_id)
+    SELECT r.page_id, r.det_no, r.class_id FROM r JOIN last l ON l.page_id = r.page_id AND list_contains(l.stay, r.k)"""
+
+
+def _recursive(view: str) -> str:
+    return duck_query(f"SELECT * FROM {{{view}}}").split(" SELECT * FROM (SELECT * FROM v_")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 QUERIES = {
-    "xy_cut_order": _over("boxes", order_page, "page_id bigint, det_no int, pos int"),
-    "nms_layout": _over("boxes", suppress_page, "page_id bigint, det_no int, class_id int"),
-    "components": _over("steps", components_page, "page_id bigint, label int, xmin int, ymin int, xmax int, ymax int, pixels bigint, score double"),
+    "xy_cut_order": _over("boxes", order_pages, "page_id bigint, det_no int, pos int", "det_no"),
+    "nms_layout": _over("boxes", suppress_pages, "page_id bigint, det_no int, class_id int", "det_no"),
+    "components": _components,
+    "component_gate": lambda spark, sf_dir: gated(_components(spark, sf_dir)),
 }
-ORACLES = {
-    "components": duck_query("SELECT * FROM {steps}").split(" SELECT * FROM (")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+_LABELLED = (
+    _recursive("steps")
     + """, cell AS (SELECT page_id, step * 8 + i AS c, step AS y, i AS x, scores[i + 1] AS s FROM v_steps, range(0, 8) AS t(i) WHERE scores[i + 1] > 0.05::FLOAT),
         reach AS (SELECT page_id, c, c AS seed FROM cell
                   UNION SELECT n.page_id, n.c, r.seed FROM reach r JOIN cell o ON o.page_id = r.page_id AND o.c = r.c
                         JOIN cell n ON n.page_id = o.page_id AND abs(n.x - o.x) + abs(n.y - o.y) = 1),
         named AS (SELECT page_id, c, min(seed) AS label FROM reach GROUP BY page_id, c)
         SELECT page_id, label::INTEGER AS label, min(x)::INTEGER AS xmin, min(y)::INTEGER AS ymin, max(x)::INTEGER AS xmax, max(y)::INTEGER AS ymax, count(*) AS pixels, round(avg(s::DOUBLE), 6) AS score
-        FROM named JOIN cell USING (page_id, c) GROUP BY page_id, label""",
+        FROM named JOIN cell USING (page_id, c) GROUP BY page_id, label"""
+)
+ORACLES = {
+    "components": _LABELLED,
+    "component_gate": f"SELECT * FROM ({_LABELLED}) WHERE pixels >= 3 AND xmax - xmin >= 2 AND ymax - ymin >= 2 AND score >= {COMPONENT_SCORE}",
+    "nms_layout": _recursive("boxes") + _SUPPRESSED,
 }
-assert "steps" in VIEWS

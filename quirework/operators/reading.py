@@ -1,9 +1,9 @@
 """Reading order of a page's items: regions by stratum, titles and figures put among them, captions after their figure.
 
 Relational parts (which region holds an item, direction of a page) are SQL; what
-depends on the place of the boxes set before is one grouped map a page. Ties are
-broken by number. A page holds as many boxes as a model can give for one image,
-so a group stays small however many pages there are.
+depends on the place of the boxes set before is one map over sorted pages. Ties
+are broken by number. A page holds as many boxes as a model can give for one
+image, so it stays small however many pages there are.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quirework.operators.layout import LAYOUT_ASSIGN
-from quirework.operators.pagealgorithms import xy_cut
+from quirework.operators.pagealgorithms import over_pages, xy_cut
 from quirework.plans.views import apply, spark_view
 
 # Class numbers of the layout model.
@@ -394,16 +395,28 @@ def _regions(pdf: pd.DataFrame) -> list[Region]:
 
 
 def reading_order(items: DataFrame, regions: DataFrame) -> DataFrame:
-    """(page_id, line_no, box) with layout_id, and (page_id, lid, class_id, box) -> page_id, line_no, pos. Pages may lack regions."""
+    """(page_id, line_no, box) with layout_id, and (page_id, lid, class_id, box) -> page_id, line_no, pos. Pages may lack regions.
 
-    def page(key: tuple, own: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("line_no")
-        order = item_order(_boxes(own), own["layout_id"].fillna(-1).astype(int).tolist(), _regions(held))
-        return pd.DataFrame({"page_id": key[0], "line_no": own["line_no"].to_numpy()[order], "pos": range(len(order))})
-
-    boxes = items.select("page_id", "line_no", "x0", "y0", "x1", "y1", "layout_id").groupBy("page_id")
-    regions = regions.toDF(*regions.columns)  # new columns, as both sides may come from one table
-    return boxes.cogroup(regions.groupBy("page_id")).applyInPandas(page, "page_id bigint, line_no int, pos int")
+    Both go as one tagged table, so that a map reads many pages.
+    """
+    box = ["x0", "y0", "x1", "y1"]
+    none = F.lit(None).cast("int")
+    own = items.select("page_id", F.lit(1).alias("kind"), F.col("line_no").cast("int").alias("number"), F.col("layout_id").cast("int").alias("layout_id"), none.alias("class_id"), *box)
+    held = regions.select("page_id", F.lit(0).alias("kind"), F.col("lid").cast("int").alias("number"), none.alias("layout_id"), F.col("class_id").cast("int").alias("class_id"), *box)
+
+    def pages(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        first = pdf["kind"].to_numpy()
+        boxes = _boxes(pdf)
+        numbers, layouts, classes = (pdf[c].fillna(-1).astype(int).tolist() for c in ("number", "layout_id", "class_id"))
+        rows, pos = [], []
+        for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False):
+            at = a + int(np.searchsorted(first[a:b], 1))
+            order = item_order(boxes[at:b], layouts[at:b], [Region(numbers[i], classes[i], boxes[i]) for i in range(a, at)])
+            rows += [at + i for i in order]
+            pos += range(len(order))
+        return pd.DataFrame({"page_id": pdf["page_id"].to_numpy()[rows], "line_no": pdf["number"].to_numpy()[rows], "pos": pos})
+
+    return over_pages(own.union(held), pages, "page_id bigint, line_no int, pos int", "kind", "number")
 
 
 def _order_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,35 +425,29 @@ def _order_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading_order(apply(spark, LAYOUT_ASSIGN, {"items": items, "regions": regions}), regions)
 
 
-def _region_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    order = region_order(_regions(pdf))
-    return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "lid": order, "pos": range(len(order))})
-
-
-def _child_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    family = Family(_regions(pdf), 18)
-    return pd.DataFrame([(int(pdf["page_id"].iloc[0]), c.number, p.number) for c, p in family.owner.items()], columns=["page_id", "lid", "parent"])
+def _region_pages(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    parts = []
+    for a, b in zip(starts, starts[1:], strict=False):
+        order = region_order(_regions(pdf.iloc[a:b]))
+        parts.append(pd.DataFrame({"page_id": pdf["page_id"].iloc[a], "lid": order, "pos": range(len(order))}))
+    return pd.concat(parts)
 
 
-def _lines_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    key = (int(pdf["page_id"].iloc[0]), int(pdf["layout_id"].iloc[0]))
-    return pd.DataFrame([(*key, *text_lines(_boxes(pdf.sort_values("line_no"))))], columns="page_id layout_id across n height width line_start line_end".split())
+def _child_pages(pdf: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+    rows = []
+    for a, b in zip(starts, starts[1:], strict=False):
+        family = Family(_regions(pdf.iloc[a:b]), 18)
+        rows += [(int(pdf["page_id"].iloc[a]), c.number, p.number) for c, p in family.owner.items()]
+    return pd.DataFrame(rows, columns=["page_id", "lid", "parent"])
 
 
 def _region_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_view(spark, sf_dir, "blocks", {}).groupBy("page_id").applyInPandas(_region_page, "page_id bigint, lid int, pos int")
+    return over_pages(spark_view(spark, sf_dir, "blocks", {}), _region_pages, "page_id bigint, lid int, pos int", "lid")
 
 
 def _child_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark_view(spark, sf_dir, "blocks", {}).groupBy("page_id").applyInPandas(_child_page, "page_id bigint, lid int, parent int")
-
-
-def _lines_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made: dict[str, DataFrame] = {}
-    items, regions = spark_view(spark, sf_dir, "items", made), spark_view(spark, sf_dir, "classed", made)
-    held = apply(spark, LAYOUT_ASSIGN, {"items": items, "regions": regions}).where("layout_id IS NOT NULL").drop("text")
-    return held.groupBy("page_id", "layout_id").applyInPandas(_lines_page, "page_id bigint, layout_id int, across boolean, n int, height int, width int, line_start int, line_end int")
+    return over_pages(spark_view(spark, sf_dir, "blocks", {}), _child_pages, "page_id bigint, lid int, parent int", "lid")
 
 
-QUERIES = {"reading_order": _order_query, "region_order": _region_query, "child_regions": _child_query, "text_lines": _lines_query}
+QUERIES = {"reading_order": _order_query, "region_order": _region_query, "child_regions": _child_query}
 ORACLES: dict[str, str] = {}

@@ -1,30 +1,38 @@
-"""Accuracy of recognised texts against expected ones: here each document against one benchmark item."""
+"""Accuracy of recognised texts against expected ones: each document against one benchmark item, and pages aligned by their number.
 
-_PAIRS = "SELECT d.doc_id, b.item_id, d.text AS got, b.text AS want FROM {documents} d JOIN (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY item_id) - 1 AS k FROM {benchmark}) b ON d.doc_id % b.n = b.k"
+Words of both texts go through one tagged union: one exchange by (key, word)
+with sums combined before it, and one by key. The number of benchmark items is a
+scalar, so that documents meet theirs by an equal key.
+"""
 
+_PAIRS = """
+    SELECT d.doc_id, b.item_id, d.text AS got, b.text AS want
+    FROM (SELECT doc_id, text, doc_id % (SELECT count(*) FROM {benchmark}) AS k FROM {documents}) d JOIN (SELECT *, row_number() OVER (ORDER BY item_id) - 1 AS k FROM {benchmark}) b ON b.k = d.k"""
 
-def _bags(tokens: str) -> tuple[str, str, str]:
-    got = f"SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, $EXPLODE({tokens.format('got')}) AS t FROM ({_PAIRS})) GROUP BY doc_id, t"
-    want = f"SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, $EXPLODE({tokens.format('want')}) AS t FROM ({_PAIRS})) GROUP BY doc_id, t"
-    both = f"SELECT g.doc_id, sum(least(g.n, w.n)) AS inter, count(*) AS kinds FROM ({got}) g JOIN ({want}) w ON w.doc_id = g.doc_id AND w.t = g.t GROUP BY g.doc_id"
-    return got, want, both
 
+def word_sums(pairs: str, keys: str, tokens: str = "$TOKENS({})") -> str:
+    """Counts of words (n), kinds (k) and what both texts have, for pairs of texts `got` and `want` under `keys`; null texts have none."""
+    return f"""
+    SELECT {keys}, CAST(sum(g) AS BIGINT) AS n_got, CAST(sum(w) AS BIGINT) AS n_want, count_if(g > 0) AS k_got, count_if(w > 0) AS k_want, CAST(sum(least(g, w)) AS BIGINT) AS inter, count_if(least(g, w) > 0) AS kinds
+    FROM (SELECT {keys}, t, sum(g) AS g, sum(w) AS w FROM (
+            SELECT {keys}, 0 AS g, 0 AS w, NULL AS t FROM ({pairs})
+            UNION ALL SELECT {keys}, 1 AS g, 0 AS w, $EXPLODE({tokens.format("got")}) AS t FROM ({pairs})
+            UNION ALL SELECT {keys}, 0 AS g, 1 AS w, $EXPLODE({tokens.format("want")}) AS t FROM ({pairs})) GROUP BY {keys}, t)
+    GROUP BY {keys}"""
 
-_TOKENS = "$TOKENS({})"
-_GOT, _WANT, _BOTH = _bags(_TOKENS)
-_SUMS = f"""
-    SELECT p.doc_id, coalesce(g.n, 0) AS n_got, coalesce(w.n, 0) AS n_want, coalesce(g.k, 0) AS k_got, coalesce(w.k, 0) AS k_want, coalesce(b.inter, 0) AS inter, coalesce(b.kinds, 0) AS kinds
-    FROM (SELECT doc_id FROM ({_PAIRS})) p LEFT JOIN (SELECT doc_id, sum(n) AS n, count(*) AS k FROM ({_GOT}) GROUP BY doc_id) g ON g.doc_id = p.doc_id
-    LEFT JOIN (SELECT doc_id, sum(n) AS n, count(*) AS k FROM ({_WANT}) GROUP BY doc_id) w ON w.doc_id = p.doc_id LEFT JOIN ({_BOTH}) b ON b.doc_id = p.doc_id"""
 
-#: F1 of bags of words; two empty texts agree, one empty text doesn't.
-WORD_F1 = f"""
-    SELECT doc_id, CAST(n_got AS BIGINT) AS n_got, CAST(n_want AS BIGINT) AS n_want, CAST(inter AS BIGINT) AS inter,
-      CASE WHEN n_got = 0 AND n_want = 0 THEN 1.0D WHEN n_got = 0 OR n_want = 0 THEN 0.0D ELSE round(2.0D * inter / (n_got + n_want), 9) END AS f1 FROM ({_SUMS})"""
+def _f1(both: str, got: str, want: str) -> str:
+    """Two empty texts agree, one empty text doesn't."""
+    return f"CASE WHEN {got} = 0 AND {want} = 0 THEN 1.0D WHEN {got} = 0 OR {want} = 0 THEN 0.0D ELSE round(2.0D * {both} / ({got} + {want}), 9) END"
+
+
+_SUMS = word_sums(_PAIRS, "doc_id")
+
+#: F1 of bags of words.
+WORD_F1 = f"SELECT doc_id, n_got, n_want, inter, {_f1('inter', 'n_got', 'n_want')} AS f1 FROM ({_SUMS})"
 
 #: F1 of sets of words.
-SET_F1 = f"""
-    SELECT doc_id, CASE WHEN k_got = 0 AND k_want = 0 THEN 1.0D WHEN k_got = 0 OR k_want = 0 THEN 0.0D ELSE round(2.0D * kinds / (k_got + k_want), 9) END AS f1 FROM ({_SUMS})"""
+SET_F1 = f"SELECT doc_id, {_f1('kinds', 'k_got', 'k_want')} AS f1 FROM ({_SUMS})"
 
 #: Character error rate: edits over the length expected, on characters of the whole texts.
 CER = f"""
@@ -34,21 +42,25 @@ CER = f"""
 #: Share of expected characters that are anywhere in the text.
 CHAR_PRESENCE = f"SELECT doc_id, round($PRESENT(want, got) * 1.0D / greatest(1, length(want)), 9) AS present FROM ({_PAIRS})"
 
-#: Scores of a group of pages: pooled over its words.
-POOLED = f"""
-    SELECT doc_id % 10 AS pool, CAST(sum(inter) AS BIGINT) AS inter, round(2.0D * CAST(sum(inter) AS BIGINT) / greatest(1, CAST(sum(n_got) + sum(n_want) AS BIGINT)), 9) AS f1 FROM ({_SUMS}) GROUP BY doc_id % 10"""
-
 _LETTERS = "SELECT doc_id, $LETTERS(want) AS want, $LETTERS(got) AS got FROM (" + _PAIRS + ")"
 
+#: Share of the expected letters and digits, of any script, that the text has, each as often; texts that expect none are left out.
+CHAR_BAG = f"SELECT doc_id, n_want AS expected, inter AS found FROM ({word_sums(_LETTERS, 'doc_id', '{}')}) WHERE n_want > 0"
 
-def _letter_bag(side: str) -> str:
-    return f"SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, $EXPLODE({side}) AS t FROM ({_LETTERS})) GROUP BY doc_id, t"
+#: Expected pages and what was recognised: by page number, else by index (from 0), else by place among the document's pages; a page that is missing is empty.
+_ALIGNED = """
+    SELECT e.doc, e.page, e.text AS want, a.text AS got, e.n_regions AS regions_want, coalesce(a.n_regions, 0) AS regions_got
+    FROM {expected_pages} e LEFT JOIN (SELECT doc, coalesce(page, page_index + 1, row_number() OVER (PARTITION BY doc ORDER BY position)) AS number, text, n_regions FROM {actual_pages}) a
+    ON a.doc = e.doc AND a.number = e.page"""
 
+PAGE_SCORES = f"""
+    SELECT s.doc, s.page, s.n_got, s.n_want, s.inter, {_f1('s.inter', 's.n_got', 's.n_want')} AS f1, a.regions_got, a.regions_want, round(a.regions_got * 1.0D / greatest(1, a.regions_want), 9) AS region_ratio
+    FROM ({word_sums(_ALIGNED, "doc, page")}) s JOIN ({_ALIGNED}) a ON a.doc = s.doc AND a.page = s.page"""
 
-#: Share of the expected letters and digits, of any script, that the text has, each as often.
-CHAR_BAG = f"""
-    SELECT doc_id, CAST(sum(n) AS BIGINT) AS expected, CAST(sum(found) AS BIGINT) AS found FROM (
-      SELECT w.doc_id, w.n, least(w.n, coalesce(g.n, 0)) AS found FROM ({_letter_bag("want")}) w LEFT JOIN ({_letter_bag("got")}) g ON g.doc_id = w.doc_id AND g.t = w.t)
-    GROUP BY doc_id"""
+#: Scores of a document: over the words of all its pages, and the mean of its pages.
+DOCUMENT_SCORES = f"""
+    SELECT doc, pages, inter, {_f1('inter', 'n_got', 'n_want')} AS f1, mean_f1 FROM (
+      SELECT doc, count(*) AS pages, CAST(sum(inter) AS BIGINT) AS inter, CAST(sum(n_got) AS BIGINT) AS n_got, CAST(sum(n_want) AS BIGINT) AS n_want, round(sum(CAST(f1 AS DECIMAL(18, 9))) * 1.0D / count(*), 6) AS mean_f1
+      FROM ({PAGE_SCORES}) GROUP BY doc)"""
 
-QUERIES = {"char_bag": CHAR_BAG, "word_f1": WORD_F1, "set_f1": SET_F1, "cer": CER, "char_presence": CHAR_PRESENCE, "pooled_f1": POOLED}
+QUERIES = {"char_bag": CHAR_BAG, "word_f1": WORD_F1, "set_f1": SET_F1, "cer": CER, "char_presence": CHAR_PRESENCE, "page_scores": PAGE_SCORES, "document_scores": DOCUMENT_SCORES}

@@ -13,9 +13,10 @@ _CODE_MODULES = ("operators.pagealgorithms", "operators.reading", "sources.image
 
 #: Whole-number columns that the engines type differently; both give a bigint.
 _BIGINT = {
-    "blocks_flagship": "x1", "item_json": "id", "layout_assign": "x1", "supplementary_region": "x1", "row_tolerance": "tolerance", "cell_order": "pos x1", "block_rank": "order_index", "projection_segments": "island",
-    "detection_sort": "pos", "yx_fallback_order": "pos", "paragraph_start": "pos", "native_text_sanity": "n", "trailing_trim": "n", "box_distances": "cx cy", "binarise": "foreground",
+    "blocks_flagship": "x1", "item_json": "id", "layout_assign": "x1", "row_tolerance": "tolerance", "cell_order": "pos x1", "block_rank": "order_index", "projection_segments": "island",
+    "detection_sort": "pos", "yx_fallback_order": "pos", "native_text_sanity": "n", "box_distances": "cx cy", "binarise": "foreground", "block_json": "oi",
     "request_metrics": "client_error le_0 le_1 le_2 le_3 le_4 le_5 le_6 le_7 le_8 ok server_error sum_us", "stream_metrics": "server_errors", "page_direction": "cells across_cells",
+    "page_lines": "line_height line_width", "region_line_counts": "n_lines", "text_lines": "height width n", "quad_box": "centre_y", "projection_scale": "scale", "page_scores": "page",
 }
 
 

@@ -66,6 +66,17 @@ def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"stream_metrics": _counters, "rate_limit": _limited}
+_CALLS = "SELECT event_id, concat('site', CAST(event_id % 7 AS STRING)) AS site, event_id * 13 AS moment FROM {requests}"
+
 ORACLES = {
     "stream_metrics": duck_query("SELECT route, count(*) AS n, count_if(status >= 500) AS server_errors, CAST(sum(bytes) AS BIGINT) AS bytes FROM {requests} GROUP BY route"),
+    # one call after the other of each site, with the window's start and the calls seen in it
+    "rate_limit": f"""
+        WITH RECURSIVE o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY site ORDER BY moment, event_id) AS k FROM ({duck_query(_CALLS)})),
+        f AS (SELECT event_id, site, k, moment AS start, 1 AS seen, 0 AS held FROM o WHERE k = 1
+              UNION ALL
+              SELECT o.event_id, o.site, o.k, CASE WHEN o.moment - f.start >= {WINDOW_MS} THEN o.moment ELSE f.start END, CASE WHEN o.moment - f.start >= {WINDOW_MS} THEN 1 ELSE f.seen + 1 END,
+                     CASE WHEN o.moment - f.start >= {WINDOW_MS} THEN greatest(0, f.seen - {PASS}) ELSE 0 END
+              FROM f JOIN o ON o.site = f.site AND o.k = f.k + 1)
+        SELECT event_id, site, seen <= {PASS} AS passed, CAST(held AS BIGINT) AS held_back FROM f""",
 }
