@@ -109,6 +109,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
+def _levels() -> str:
+    """op2's walk over four levels: wildcards from the top down (t1 to t4), merges from the bottom up (b1 to b4)."""
+    parts = []
+    for k in range(4):
+        parts.append(f"""v{k} AS (SELECT host, pre FROM (SELECT host, tpl[1:{k}] AS pre, tpl[{k + 1}] AS v, sum(pages) AS p FROM t{k} WHERE len(tpl) > {k} GROUP BY ALL) GROUP BY host, pre
+            HAVING (count(*) FILTER (WHERE p = 1) - 1.96 * sqrt(count(*) FILTER (WHERE p = 1))) / sum(p) >= 0.2),
+        t{k + 1} AS (SELECT t.host, t.seg, t.pages, t.n, t.b, CASE WHEN v.host IS NOT NULL THEN list_transform(t.tpl, lambda s, i: CASE WHEN i = {k + 1} THEN '*' ELSE s END) ELSE t.tpl END AS tpl
+            FROM t{k} t LEFT JOIN v{k} v ON v.host = t.host AND v.pre = t.tpl[1:{k}] AND len(t.tpl) > {k}),""")
+    parts.append("b0 AS (SELECT host, tpl, tpl AS mrg, sum(n) AS n, sum(b) AS b FROM t4 GROUP BY host, tpl),")
+    for i, k in enumerate(reversed(range(4))):
+        parts.append(f"""k{i} AS (SELECT host, mrg, list_transform(mrg, lambda s, i: CASE WHEN i = {k + 1} THEN '~' ELSE s END) AS shape, sum(n) AS n, sum(b) AS b FROM b{i}
+            WHERE NOT regexp_matches(coalesce(mrg[{k + 1}], '*'), '^([*~]|\\{{.*)$') GROUP BY host, mrg HAVING sum(n) >= 5),
+        q{i} AS (SELECT host, shape, sum(n) AS n, sum(b) AS b FROM k{i} GROUP BY host, shape HAVING count(*) > 1),
+        s{i} AS (SELECT k.host, k.mrg, k.shape FROM k{i} k JOIN q{i} q USING (host, shape)
+            WHERE abs(k.b / k.n - q.b / q.n) <= 1.96 * sqrt((q.b + 1) / (q.n + 2) * (1 - (q.b + 1) / (q.n + 2)) * (1 / k.n + 1 / q.n))),
+        b{i + 1} AS (SELECT b.host, b.tpl, coalesce(s.shape, b.mrg) AS mrg, b.n, b.b FROM b{i} b LEFT JOIN s{i} s ON s.host = b.host AND s.mrg = b.mrg),""")
+    return "\n        ".join(parts).rstrip(",")
+
+
 ORACLES: dict[str, str] = {
     "op2_urlfilter": """
         WITH r(verdict, rule, domain, start) AS (VALUES ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'),
@@ -120,20 +139,13 @@ ORACLES: dict[str, str] = {
         g AS (SELECT page_id, host, path, x.rule AS rule, x.verdict AS label,
               list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: CASE
                 WHEN regexp_matches(s, '^[0-9]+$') THEN '{n}' WHEN regexp_matches(s, '^[0-9]+\\.[A-Za-z0-9]{1,5}$') THEN '{n}.' || regexp_extract(s, '\\.(.*)$', 1)
-                WHEN regexp_matches(s, '^[0-9a-fA-F]{8,}$') THEN '{x}' WHEN regexp_matches(s, '[0-9]') THEN '{id}' WHEN length(s) > 40 THEN '{long}' ELSE s END)[1:6] AS seg FROM m),
-        w AS (SELECT host, place FROM (SELECT DISTINCT host, unnest(seg) AS v, generate_subscripts(seg, 1) AS place FROM g) GROUP BY host, place HAVING count(*) > 50),
-        ws AS (SELECT host, list(place) AS places FROM w GROUP BY host),
-        t AS (SELECT g.*, list_transform(seg, lambda s, i: CASE WHEN list_contains(coalesce(places, []), i) THEN '*' ELSE s END) AS tpl FROM g LEFT JOIN ws USING (host)),
-        b0 AS (SELECT host, tpl, count(label) AS n, count(*) FILTER (WHERE label = 'block') AS b,
-               list_max(list_transform(tpl, lambda s, i: CASE WHEN regexp_matches(s, '^([*]|\\{.*)$') THEN 0 ELSE i END)) AS fixed FROM t GROUP BY host, tpl),
-        b1 AS (SELECT *, list_transform(tpl, lambda s, i: CASE WHEN i = fixed THEN '~' ELSE s END) AS shape FROM b0),
-        k AS (SELECT * FROM b1 WHERE n >= 5),
-        q AS (SELECT host, shape, sum(n) AS n, sum(b) AS b FROM k GROUP BY host, shape HAVING count(*) > 1),
-        s AS (SELECT k.host, k.tpl, k.shape, k.n, k.b FROM k JOIN q USING (host, shape)
-              WHERE abs(k.b / k.n - q.b / q.n) <= 1.96 * sqrt((q.b + 1) / (q.n + 2) * (1 - (q.b + 1) / (q.n + 2)) * (1 / k.n + 1 / q.n))),
-        u AS (SELECT s.host, s.tpl, v.n, v.b FROM s JOIN (SELECT host, shape, sum(n) AS n, sum(b) AS b FROM s GROUP BY host, shape) v USING (host, shape)),
-        y AS (SELECT b1.host, b1.tpl, (coalesce(u.b, b1.b) + 0.2) / (coalesce(u.n, b1.n) + 2.0) AS purity FROM b1 LEFT JOIN u USING (host, tpl))
-        SELECT page_id, host, path, rule, coalesce(label, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict FROM t JOIN y USING (host, tpl)""",
+                WHEN regexp_matches(s, '^[0-9a-fA-F]{8,}$') THEN '{x}' WHEN regexp_matches(s, '[0-9]') THEN '{id}' WHEN length(s) > 40 THEN '{long}' ELSE s END) AS seg FROM m),
+        t0 AS (SELECT host, CASE WHEN len(seg) > 4 THEN error('this statement walks four levels') ELSE seg END AS seg, seg AS tpl, count(*) AS pages, count(label) AS n, count(*) FILTER (WHERE label = 'block') AS b FROM g GROUP BY host, seg),
+"""
+    + _levels()
+    + """
+        SELECT page_id, host, path, rule, coalesce(label, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict
+        FROM g JOIN (SELECT host, seg, tpl FROM t4) l USING (host, seg) JOIN b4 USING (host, tpl) JOIN (SELECT host, mrg, (sum(b) + 0.2) / (sum(n) + 2.0) AS purity FROM b4 GROUP BY host, mrg) u USING (host, mrg)""",
     "op3_quality": """
         WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
         g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
