@@ -14,6 +14,8 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(ODD, SCHEMA)
+    clashing = "target source_size copies common text_sha256 component_id group_size n_words spans mark none least length words".split()
+    rows = rows.withColumns({c: F.lit("y") for c in clashing})
     return rows.withColumn("kept", F.lit("mine")).withColumn("size", F.lit(1)).withColumn("id", F.lit("x")).repartition(3)
 
 

@@ -127,6 +127,8 @@ def test_common_lines_go_and_depleted_documents_with_them(spark, odd, empty):
     got = {(r.doc_id, r.n_words) for r in quality.judge_lines(odd).collect()}
     assert {(2, 0), (1, 0), (3, 2), (4, 20000), (9, 0)} <= got
     assert quality.judge_lines(empty).count() == 0
+    judged = quality.judge_lines(odd)
+    assert quality.remove_lines(odd, judged).columns == odd.columns and quality.remove_lines(odd, judged).count() == judged.where("kept").count()
 
 
 def test_toxicity_on_documents_held_out(spark, odd, empty):
@@ -423,6 +425,8 @@ def test_mixing(docs, odd, empty):
         assert r.target == pytest.approx(target[r.source]) and r.source_size == sizes[r.source] and 0 <= r.copies <= 3
         assert r["size"] == len(WORD.findall(r.text or "")) and abs(r.copies - r.target / max(1, r.source_size)) < 1
     assert mixing.mix(docs).select("doc_id", "copies").exceptAll(docs.sparkSession.createDataFrame([(r.doc_id, r.copies) for r in rows], "doc_id bigint, copies bigint")).count() == 0
+    every = mixing.mix(table(docs.sparkSession, "/root/testdata/sf0.01", "documents")).selectExpr("source", "target", "copies * size AS taken").groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 0.1 * r.target for r in every)
     assert mixing.mix(odd).count() == 11 and mixing.mixed(odd).columns == odd.columns and mixing.mix(empty).count() == 0
 
 

@@ -67,11 +67,17 @@ def copies_by_force():
         if not over:
             break
         full |= over
+    rate = {s: (3.0 * size[s] if s in full else weight[s] * level) / size[s] for s in size}
+
+    def luck(i, t, shift):
+        draw = int(hashlib.md5(f"mix:{i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16)
+        return (draw + shift * 16**13 // 32) % 16**13 / 16**13
+
     out = Counter()
-    for i, _, _, s, _ in ROWS:
-        rate = (3.0 * size[s] if s in full else weight[s] * level) / size[s]
-        luck = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) / 16**13
-        out[i] = int(rate) + (luck < rate - int(rate))
+    for s in size:
+        own = [(i, t, len(WORD.findall(t or ""))) for i, t, _, source, _ in ROWS if source == s]
+        copies = {k: {i: int(rate[s]) + (luck(i, t, k) < rate[s] - int(rate[s])) for i, t, _ in own} for k in range(32)}
+        out.update(copies[min(range(32), key=lambda k: (abs(sum(copies[k][i] * n for i, _, n in own) - rate[s] * size[s]), k))])
     return +out
 
 
