@@ -48,9 +48,9 @@ TOOLS = {"respond": {"query": ("string", True), "n_words": ("integer", True)}}
 
 
 def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quirework.llm.toolcalls import link, turns_as_calls
+    from quirework.llm.toolcalls import link_turns
 
-    return link(*turns_as_calls(table(spark, sf_dir, "conversations")), TOOLS)
+    return link_turns(table(spark, sf_dir, "conversations"), TOOLS)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +176,12 @@ ORACLES: dict[str, str] = {
                  || CASE WHEN a.text IS NULL THEN '' ELSE ',"result":' || to_json(a.text)::VARCHAR END || ',"tool":"respond"}' AS event
         FROM k LEFT JOIN a ON a.conv_id = k.conv_id AND a.turn = k.turn + 1
         UNION ALL
-        SELECT a.conv_id || ':' || (a.turn - 1), NULL, NULL, 0, 'orphan_result', NULL FROM a
-        WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = a.conv_id AND c.turn = a.turn - 1)""",
+        SELECT a.conv_id || ':' || (a.turn - 1), NULL, a.turn, 0, 'orphan_result',
+               '{"call_id":' || to_json(a.conv_id || ':' || (a.turn - 1))::VARCHAR || ',"result":' || to_json(a.text)::VARCHAR || '}' FROM a
+        WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.conv_id = a.conv_id AND c.turn = a.turn - 1)
+        UNION ALL
+        SELECT conv_id || ':' || turn, turn, NULL, 0, 'other_turn', '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}'
+        FROM m WHERE role NOT IN ('user', 'assistant')""",
     "op8_exactdedup": """
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

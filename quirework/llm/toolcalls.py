@@ -16,7 +16,11 @@ it; of calls or results with one identifier the first by (position, text) is
 linked and the rest are left out of the join but kept as rows, calls as
 "duplicate" with their position and event, results as "orphan_result" with
 their result_position and an event of call_id and result; a predecessor that doesn't exist
-counts as none; empty tables give no rows.
+counts as none; empty tables give no rows. Of chat turns, one with a null
+conversation or turn has a null identifier, and one of neither a user nor an
+assistant is kept as "other_turn" with its role and content. A null text is a
+call without its argument; a text of any length is one JSON string. Columns
+other than those named are ignored.
 """
 
 from __future__ import annotations
@@ -102,11 +106,24 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tupl
     return linked.unionByName(lost).unionByName(again).unionByName(orphan)
 
 
+def _turn(turn: Column) -> Column:
+    """Identifier of a turn; null if its conversation or number is."""
+    return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+
+
 def turns_as_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(calls, results) of plain chat turns: a user's turn calls "respond", the next turn of an assistant is its result."""
-    name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     words = F.size(F.array_remove(F.split(F.translate("text", "\t\n\x0b\x0c\r", "     "), " +"), ""))
     arguments = F.to_json(F.struct(F.col("text").alias("query"), words.alias("n_words")))
-    calls = messages.where("role = 'user'").select(name(F.col("turn")).alias("call_id"), name(F.col("turn") - 2).alias("after"), F.col("turn").alias("position"), F.lit("respond").alias("tool"), arguments.alias("arguments"))
-    results = messages.where("role = 'assistant'").select(name(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    calls = messages.where("role = 'user'").select(_turn(F.col("turn")).alias("call_id"), _turn(F.col("turn") - 2).alias("after"), F.col("turn").alias("position"), F.lit("respond").alias("tool"), arguments.alias("arguments"))
+    results = messages.where("role = 'assistant'").select(_turn(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
     return calls, results
+
+
+def link_turns(messages: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]], *, work: Workspace | None = None) -> DataFrame:
+    """link() of plain chat turns, and a row for each turn of another role."""
+    linked = link(*turns_as_calls(messages), schemas, work=work)
+    other = messages.where("role IS NULL OR role NOT IN ('user', 'assistant')")
+    event = F.to_json(F.struct(F.col("text").alias("content"), "role"))
+    other = other.select(_turn(F.col("turn")).alias("call_id"), F.col("turn").alias("position"), F.lit(None).cast(linked.schema["result_position"].dataType).alias("result_position"), F.lit(0).cast("bigint").alias("depth"), F.lit("other_turn").alias("status"), event.alias("event"))
+    return linked.unionByName(other)
