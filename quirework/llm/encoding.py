@@ -13,8 +13,6 @@ beyond Latin script or with the string of an added token, goes through
 
 from __future__ import annotations
 
-import contextlib
-import itertools
 import json
 import os
 import re
@@ -28,15 +26,12 @@ import pyarrow.compute as pc
 _LETTER, _DIGIT = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
 #: The fast path takes texts of ordinary ASCII, Latin-1 and Latin Extended-A letters (but the dotted capital I).
 _SLOW = re.compile(r"[^\t\n\r -~\xa1-\xac\xae-įı-ſ]")
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+")
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_DIGIT}]|[^\s{_LETTER}{_DIGIT}]+|\n")
 _BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Ends each word in the engine; texts that hold it are not on the fast path.
 _END = "\x01"
 
-#: Words whose ids a worker keeps; what comes later than these is encoded each time.
-KNOWN = 1 << 18
-
 _encoders: dict[tuple[str, str], "Encoder"] = {}
 
 
@@ -120,58 +115,31 @@ class Encoder:
             ranks[raw(a + b)] = len(ids)
             ids.append(vocab[a + b])
         self.to_id = np.array(ids).astype(self.kind)
-        self.closes = np.zeros(len(ids), bool)  # ends its word
-        self.closes[[rank for piece, rank in ranks.items() if piece.endswith(_END.encode())]] = True
-        self.known: dict[str, bytes] = {}
-        self.known_runs: dict[str, bytes] = {}
+        self.line = ranks.get(b"\n" + _END.encode())
         self.engine = tiktoken.Encoding("own", pat_str=f"[^{_END}]+{_END}" if suffix else _BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
     def _slow(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind).tobytes()
 
-    def _looked_up(self, keys: list[str], known: dict[str, bytes], make) -> list[bytes]:
-        """Ids of each key; make(list of keys) gives those of all that weren't met before."""
-        found = list(map(known.get, keys))
-        missing, at = [], -1
-        with contextlib.suppress(ValueError):
-            while True:
-                at = found.index(None, at + 1)
-                missing.append(at)
-        if missing:
-            fresh = list(dict.fromkeys(map(keys.__getitem__, missing)))
-            new = dict(zip(fresh, make(fresh), strict=True))
-            if len(known) < KNOWN:
-                known |= new
-            for at in missing:
-                found[at] = new[keys[at]]
-        return found
-
-    def _from_engine(self, words: list[str]) -> list[bytes]:
-        ranks = self.engine.encode_to_numpy(_END.join(words) + _END, disallowed_special=())
-        ends = ((np.flatnonzero(self.closes[ranks]) + 1) * self.kind.itemsize).tolist()
-        data = self.to_id[ranks].tobytes()
-        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def _from_words(self, runs: list[str]) -> list[bytes]:
-        parts = [_WORDS.findall(r) for r in runs]
-        ids = iter(self._looked_up([w for part in parts for w in part], self.known, self._from_engine))
-        return [b"".join([next(ids) for _ in part]) for part in parts]
+    def _of_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all runs (without white space), one after the other, and the number of each: one call of the engine, where a line break parts runs."""
+        lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(runs)], pa.int32()), runs.cast(pa.string())), "\n")[0].as_py() + "\n"
+        ranks = self.engine.encode_to_numpy(_END.join(_WORDS.findall(lines)) + _END, disallowed_special=())
+        breaks = ranks == self.line
+        return self.to_id[ranks[~breaks]], np.diff(np.flatnonzero(breaks), prepend=-1) - 1
 
     def _by_words(self, texts: list[str]) -> list[bytes]:
-        """What stands between white space is looked up once for all texts, as no word spans it; what wasn't met before is parted into words."""
+        """What stands between white space is encoded once for all texts, as no word spans it."""
         lower = pa.array([(x if x.isascii() else unicodedata.normalize("NFC", x)).lower() for x in texts], pa.large_string())
         runs = pc.ascii_split_whitespace(lower)
         coded = runs.flatten().dictionary_encode()
-        ids = self._looked_up(coded.dictionary.to_pylist(), self.known_runs, self._from_words)
-        size = self.kind.itemsize
-        values = np.frombuffer(b"".join(ids), self.kind)
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // size
+        values, lengths = self._of_runs(coded.dictionary)
         first = np.cumsum(lengths) - lengths
         place = np.asarray(coded.indices)
         each = lengths[place]
         ends = np.cumsum(each)
         data = values[np.repeat(first[place] - ends + each, each) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
-        edges = (np.concatenate(([0], ends))[np.asarray(runs.offsets)] * size).tolist()
+        edges = (np.concatenate(([0], ends))[np.asarray(runs.offsets)] * self.kind.itemsize).tolist()
         return [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def _holds_added(self, text: str) -> bool:
