@@ -30,7 +30,7 @@ from quirework.llm.encoding import encoder
 from quirework.llm.workspace import partitions_for
 
 #: Bytes of text whose words are looked up together.
-TOGETHER = 6 << 20
+TOGETHER = 3 << 20
 SCHEMA = "doc_id {id}, part int, local_start bigint, n_tokens bigint, tokens array<int>"
 
 
