@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +35,27 @@ def limit_calls(times: list[int], state: tuple[int, int] | None, passes: int, wi
 
 
 def rate_limit(calls: DataFrame, passes: int = PASS, window_ms: int = WINDOW_MS) -> DataFrame:
-    """site, at (ms) of a bounded table -> with passed and held_back."""
-
-    def site(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"])
-        rows, _ = limit_calls(pdf["at"].tolist(), None, passes, window_ms)
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "site": pdf["site"].to_numpy(), "passed": [r[1] for r in rows], "held_back": [r[2] for r in rows]})
-
-    return calls.groupBy("site").applyInPandas(site, "event_id bigint, site string, passed boolean, held_back bigint")
+    """site, at (ms) of a bounded table -> with passed and held_back.
+
+    Sites are dealt whole and sorted by Spark, which spills; a task walks its
+    calls batch by batch and keeps only the window that is open, so a site of
+    any size fits. A null site is one of its own.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: tuple | None = None
+        state = None
+        for pdf in batches:
+            sites = pdf["site"].astype(object).where(pdf["site"].notna(), None).tolist()
+            rows: list[tuple[int, bool, int]] = []
+            for site, own in itertools.groupby(zip(sites, pdf["at"].tolist(), strict=True), key=itemgetter(0)):
+                found, state = limit_calls([at for _, at in own], state if (site,) == last else None, passes, window_ms)
+                last = (site,)
+                rows += found
+            yield pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "site": sites, "passed": [r[1] for r in rows], "held_back": [r[2] for r in rows]})
+
+    dealt = calls.select("event_id", "site", "at").repartition("site").sortWithinPartitions("site", "at", "event_id")
+    return dealt.mapInPandas(walk, "event_id bigint, site string, passed boolean, held_back bigint")
 
 
 def rate_limit_stream(calls: DataFrame, passes: int = PASS, window_ms: int = WINDOW_MS) -> DataFrame:
