@@ -66,6 +66,10 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
 
 
+#: Token files whose first positions are sent to every task; those of more are joined by a shuffle.
+BROADCAST_FILES = 100_000
+
+
 def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirework.llm.tokenfile import checksums, read_index, write_tokens
     from quirework.llm.workspace import Workspace
@@ -73,7 +77,9 @@ def op7_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark).root + "/tokens"
     write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("word_bpe_49k.json"), end_id=2)
     bases = read_index(spark, path).groupBy("part").agg(F.min("start").alias("base"))
-    rows = checksums(spark, path).join(F.broadcast(bases), "part")  # one row a file
+    if len(spark.read.parquet(path).inputFiles()) <= BROADCAST_FILES:
+        bases = F.broadcast(bases)  # one row a file
+    rows = checksums(spark, path).join(bases, "part")
     return rows.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
