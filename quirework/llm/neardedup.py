@@ -10,12 +10,12 @@ pair differs in 20 of 80 slots on average, and in 40 or more with a probability
 below one in a million.
 
 Classes that share a key are candidates. In a key with at most SMALL classes
-all pairs are. A pair of 0.75 disagrees in two slots or more of a chunk with a
-probability of 0.26, and in 16 of 20 chunks with one below a millionth, so a
-class with RICH chunks free of large keys meets all its partners in small keys;
-tests compute that probability where the keys that are large come from a passage
-that many texts share, and it stays below a millionth.
-Only classes with fewer ("owners") go on in large keys. Each is tried against
+all pairs are. Classes with a larger key have a second level of keys among
+themselves, of two slots of a chunk. A class knows how far a partner must be
+that it has met on neither level: 3 slots in a chunk whose keys of two slots are
+all small, 2 in one whose keys of three are, so if these come to DISTANCE there
+is no such partner, with certainty, and the class is settled.
+All others ("owners") go on in large keys. Each is tried against
 CENTRES classes, drawn by hash, of its largest key in each of STARS parts of the
 chunks - a fixed number of pairs a class, however many keys it has - and pairs
 that are linked on their full sets are labelled by component. Keys are then
@@ -37,6 +37,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ CHUNKS, CHUNK = 20, 4
 SLOTS = CHUNKS * CHUNK
 #: Fewer differing slots than this are found with certainty.
 DISTANCE = 2 * CHUNKS
-#: Keys of more classes than this are large. A class with RICH chunks or more without a large key is judged by its small keys.
+#: Keys of more classes than this are large. A class with fewer than RICH chunks without a large key is an owner whatever its second level says.
 SMALL, RICH = 12, 16
 #: Parts of the chunks that give a class one star each, classes in the middle of a star, and parts that the others of one star are dealt in.
 STARS, CENTRES, SALTS = 3, 2, 16
@@ -98,20 +99,28 @@ def _sketch(size: int):
     return run
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, n, signature -> key, id, n for each chunk and slot left out."""
-    left_out = np.array([[j for j in range(CHUNK) if j != i] for i in range(CHUNK)])
-    number = np.arange(SLOTS, dtype=np.uint64)
-    for batch in batches:
-        for at in range(0, len(batch), 2000):
-            part = batch.slice(at, 2000)
-            if not len(part):
-                continue
-            s = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
-            rest = s[:, :, left_out]  # rows, chunks, left out, slots
-            key = (rest[..., 0] << np.uint64(32)) | (rest[..., 1] << np.uint64(16)) | rest[..., 2]
-            key = mix(key.reshape(len(s), SLOTS) ^ (number[None, :] << np.uint64(50)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), part.column(0).take(pa.array(np.repeat(np.arange(len(s)), SLOTS))), part.column(1).take(pa.array(np.repeat(np.arange(len(s)), SLOTS))), pa.array(np.tile(np.repeat(np.arange(CHUNKS, dtype=np.int8), CHUNK), len(s)))], names=["key", "id", "n", "chunk"])
+def _keys(slots: int):
+    """id, n, signature -> key, id, n, chunk for each chunk and choice of so many of its slots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = np.array(list(combinations(range(CHUNK), slots)))
+        each = CHUNKS * len(chosen)
+        number = np.arange(each, dtype=np.uint64)
+        for batch in batches:
+            for at in range(0, len(batch), 2000):
+                part = batch.slice(at, 2000)
+                if not len(part):
+                    continue
+                s = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u2").reshape(-1, CHUNKS, CHUNK).astype(np.uint64)
+                kept = s[:, :, chosen]  # rows, chunks, choices, slots
+                key = kept[..., 0]
+                for i in range(1, slots):
+                    key = (key << np.uint64(16)) | kept[..., i]
+                key = mix(key.reshape(len(s), each) ^ (number[None, :] << np.uint64(50)))
+                row = pa.array(np.repeat(np.arange(len(s)), each))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), part.column(0).take(row), part.column(1).take(row), pa.array(np.tile(np.repeat(np.arange(CHUNKS, dtype=np.int8), len(chosen)), len(s)))], names=["key", "id", "n", "chunk"])
+
+    return run
 
 
 def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +163,7 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _block_links(shingle: int, percent: int):
-    """Packed blocks of classes -> links between classes of different components, enough to join what the block joins.
+    """Packed blocks of classes -> pairs of components that a link joins, enough to join what the block joins.
 
     Only pairs whose signatures are near are compared in full, the nearest
     first, and none whose components the pairs before have joined.
@@ -194,7 +203,7 @@ def _block_links(shingle: int, percent: int):
                     both = len(np.intersect1d(u, v, assume_unique=True))
                     if 100 * both >= percent * (len(u) + len(v) - both):
                         joined[max(p, q)] = min(p, q)
-                        found.append(sorted((a["id"], b["id"])))
+                        found.append((min(p, q), max(p, q)))
                 yield pa.RecordBatch.from_arrays([pa.array([f[m] for f in found], pa.int64()) for m in (0, 1)], names=["a", "b"])
 
     return run
@@ -221,8 +230,49 @@ def _close(x: str, y: str, percent: int) -> F.Column:
     return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
 
+def _candidates(classes: DataFrame, percent: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """id, n, signature -> pairs a < b that share a small key, and the owners: id, n, keys (members, chunk, key of each large one).
+
+    Every pair whose signatures differ in fewer than DISTANCE slots is among
+    the pairs or is one of two owners that share a large key.
+    """
+
+    def members_of(rows: DataFrame, slots: int, name: str) -> DataFrame:
+        """Keys of two classes or more, a row for each class in them."""
+        keyed = rows.select("id", "n", "signature").mapInArrow(_keys(slots), "key bigint, id bigint, n bigint, chunk byte")
+        shared = work.save(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), f"{name}-shared")
+        out = work.save(keyed.join(shared, "key"), name)
+        work.drop(f"{name}-shared")
+        return out
+
+    def met(rows: DataFrame) -> DataFrame:
+        """Pairs of classes in one key of which one asks."""
+        left, right = rows.select("key", "id", "n", "asks"), rows.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("asks").alias("asked"))
+        pairs = left.join(right, "key").where((F.col("id") < F.col("b")) & (F.col("asks") | F.col("asked")) & _close("n", "m", percent))
+        return pairs.select(F.col("id").alias("a"), "b").distinct()
+
+    members = members_of(classes, 3, "members")
+    # at most SLOTS keys a class
+    large = members.where(F.col("members") > SMALL).groupBy("id", "n").agg(F.collect_list(F.struct("members", "chunk", "key")).alias("keys"))
+    large = work.save(large, "large")
+
+    # a partner that shares no small key shares a large one, so both are in this table
+    second = members_of(large.select("id", "n").join(classes.select("id", "signature"), "id"), 2, "members-2")
+    crowded = second.where(F.col("members") > SMALL).groupBy("id").agg(F.count_distinct("chunk").alias("crowded"))
+    # a large key's classes are all here, so its chunk is crowded too
+    held = F.size(F.array_distinct(F.col("keys.chunk")))
+    crowd = F.coalesce("crowded", F.lit(0))
+    settled = (3 * (CHUNKS - crowd) + 2 * (crowd - held) >= DISTANCE) & (held <= CHUNKS - RICH)
+    judged = work.save(large.join(crowded, "id", "left").select("id", "n", "keys", settled.alias("settled")), "judged")
+    work.drop("large")
+
+    once = met(members.where(F.col("members") <= SMALL).withColumn("asks", F.lit(True)))
+    twice = met(second.where(F.col("members") <= SMALL).join(judged.select("id", F.col("settled").alias("asks")), "id"))
+    return once.union(twice), judged.where("NOT settled").drop("settled")
+
+
 def _in_blocks(owners: DataFrame, labels: DataFrame, texts: DataFrame, work: Workspace, shingle: int, percent: int) -> DataFrame | None:
-    """Links between owners that share a large key and are in different components; None if no key holds two.
+    """Pairs of components that links between owners join, where these share a large key; None if no key holds two.
 
     Components that share keys, directly or not, make a region. Its query set,
     the classes outside its commonest component, meets all its classes in
@@ -278,9 +328,6 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
 
     classes = sketches.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct(*_ROW)).alias("least"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = work.save(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    keyed = classes.select(F.col("cls").alias("id"), "n", "signature").mapInArrow(_keys, "key bigint, id bigint, n bigint, chunk byte")
-    shared = work.save(keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared")
-    members = work.save(keyed.join(shared, "key"), "members")
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """Candidate pairs a < b whose signatures are near."""
@@ -289,15 +336,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
         pairs = pairs.join(sig.select(F.col("id").alias("a"), F.col("signature").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("signature").alias("sb")), "b")
         return work.save(pairs.select("a", "b", "sa", "sb").mapInArrow(_distance, "a bigint, b bigint").distinct(), name)
 
-    small = members.where(F.col("members") <= SMALL)
-    other = small.select("key", F.col("id").alias("b"), F.col("n").alias("m"))
-    pairs = small.join(other, "key").where((F.col("id") < F.col("b")) & _close("n", "m", percent)).select(F.col("id").alias("a"), "b")
-
-    # at most SLOTS keys a class
-    owners = members.where(F.col("members") > SMALL).groupBy("id", "n").agg(F.collect_list(F.struct("members", "chunk", "key")).alias("keys"))
-    owners = work.save(owners.where(F.size(F.array_distinct(F.col("keys.chunk"))) > CHUNKS - RICH), "owners")
+    pairs, owners = _candidates(classes.select(F.col("cls").alias("id"), "n", "signature"), percent, work)
     first = near(pairs.union(_stars(owners, percent)), "near-1")
-    work.drop("members", "shared")
+    work.drop("members", "members-2")
 
     wanted = first.select(F.col("a").alias("id")).union(first.select("b")).union(owners.select("id")).distinct()
     # the same plan at every size: one shuffle of the texts
@@ -312,8 +353,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent:
     labels = components(links, work, "labels-1")
     more = _in_blocks(owners, labels, texts, work, shingle, percent)
     if more is not None and more.limit(1).count():
-        labels = components(links.union(more), work, "labels-2")
-    work.drop("owners", "texts", "near-1")
+        # by component: the links inside one are done with
+        wider = components(more, work, "labels-2").withColumnRenamed("component", "wider")
+        labels = labels.union(wider.select("node", F.col("node").alias("component"))).distinct()
+        labels = labels.join(wider.select(F.col("node").alias("component"), "wider"), "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    work.drop("judged", "texts", "near-1")
 
     joined = labels.join(classes.select(F.col("cls").alias("node"), "least"), "node")
     joined = joined.select("node", "component").join(joined.groupBy("component").agg(F.min("least").alias("first")), "component")
